@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import public_tokenizers
+from pyspark.sql import functions as F
 
-from . import bpe_codec, exact_dedup, token_counts
+from . import bpe_codec, exact_dedup, pii, quality, token_counts, toxicity
 from .common import table
 
 
@@ -16,11 +17,25 @@ def op2_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op3_toxicity(spark, sf_dir):
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.7, modulus=3, remainder=1)
+
+
+def op8_personal_data(spark, sf_dir):
+    return pii.personal_data(table(spark, sf_dir, "documents"))
+
+
 def op9_bpe_codec(spark, sf_dir):
     return bpe_codec.encode_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_exact_dedup, op9_bpe_codec)}
+def op10_quality(spark, sf_dir):
+    """Grades: 0 low quality, 1 good but toxic, 2 good and clean. A text is kept for a grade of 1 at least."""
+    grade = F.col("quality") * (F.lit(2) - F.coalesce("toxic", F.lit(0)))
+    return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), grade, grades=3, select_from=1, at_least=0.5)
+
+
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_exact_dedup, op3_toxicity, op8_personal_data, op9_bpe_codec, op10_quality)}
 
 ORACLES = {
     "op2_exact_dedup": r"""
