@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import bpe_codec, decontamination, exact_dedup, pii, quality, token_counts, toxicity
+from . import bpe_codec, decontamination, exact_dedup, lattice_lm, pii, quality, token_counts, toxicity
 from .common import table
 
 
@@ -25,6 +25,10 @@ def op4_decontamination(spark, sf_dir):
     return decontamination.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), span=10, k=5)
 
 
+def op5_lattice_scores(spark, sf_dir):
+    return lattice_lm.lattice_scores(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), modulus=7, remainder=2)
+
+
 def op8_personal_data(spark, sf_dir):
     return pii.personal_data(table(spark, sf_dir, "documents"))
 
@@ -39,7 +43,7 @@ def op10_quality(spark, sf_dir):
     return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), grade, grades=3, select_from=1, at_least=0.5)
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_exact_dedup, op3_toxicity, op4_decontamination, op8_personal_data, op9_bpe_codec, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_exact_dedup, op3_toxicity, op4_decontamination, op5_lattice_scores, op8_personal_data, op9_bpe_codec, op10_quality)}
 
 ORACLES = {
     "op4_decontamination": r"""
