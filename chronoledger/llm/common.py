@@ -29,7 +29,7 @@ def id_and_text(df: DataFrame, id_col: str, text_col: str, text_type: str = "str
     return df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), text.cast(text_type).alias("text"))
 
 
-def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterable[pa.RecordBatch]], schema: str) -> DataFrame:
+def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterable[pa.RecordBatch]], schema) -> DataFrame:
     """Apply fn to each Arrow batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import bpe_codec, decontamination, exact_dedup, lattice_lm, pii, quality, signature_join, token_counts, toxicity
+from . import bpe_codec, decontamination, exact_dedup, lattice_lm, licences, pii, quality, signature_join, token_counts, toxicity
 from .common import table
 
 
@@ -33,6 +33,10 @@ def op6_near_components(spark, sf_dir):
     return signature_join.near_components(table(spark, sf_dir, "documents"), n=5, percent=75)
 
 
+def op7_licences(spark, sf_dir):
+    return licences.licences(table(spark, sf_dir, "documents"), at_least=0.5)
+
+
 def op8_personal_data(spark, sf_dir):
     return pii.personal_data(table(spark, sf_dir, "documents"))
 
@@ -47,7 +51,7 @@ def op10_quality(spark, sf_dir):
     return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), grade, grades=3, select_from=1, at_least=0.5)
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_exact_dedup, op3_toxicity, op4_decontamination, op5_lattice_scores, op6_near_components, op8_personal_data, op9_bpe_codec, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_exact_dedup, op3_toxicity, op4_decontamination, op5_lattice_scores, op6_near_components, op7_licences, op8_personal_data, op9_bpe_codec, op10_quality)}
 
 ORACLES = {
     "op4_decontamination": r"""

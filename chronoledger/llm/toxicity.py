@@ -176,6 +176,18 @@ def score(df: DataFrame, model: NoisyOr, id_col: str = "doc_id", text_col: str =
     return map_arrow(id_and_text(df, id_col, text_col, "binary"), run, "doc_id long, score double")
 
 
+def keep_clean(df: DataFrame, model: NoisyOr, threshold: float = 0.7, text_col: str = "text") -> DataFrame:
+    """The rows of df, all columns, with a score below the threshold. One pass, no shuffle."""
+    shared = df.sparkSession.sparkContext.broadcast(model)
+    at = df.columns.index(text_col)
+
+    def run(batch: pa.RecordBatch):
+        texts = [(t or "").encode() for t in batch.column(at).to_pylist()]
+        yield batch.filter(pa.array(shared.value.score(texts) < threshold))
+
+    return map_arrow(df, run, df.schema)
+
+
 def locate(df: DataFrame, model: NoisyOr, at_least: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per offending sentence: doc_id, begin, end (code points, end exclusive), probability."""
     shared = df.sparkSession.sparkContext.broadcast(model)
