@@ -13,13 +13,13 @@ components. No link between components is lost:
    searched by a signature tree: nodes hold the OR and the AND of their members'
    n-gram bitmaps and their range of sizes. A dual traversal drops node pairs whose
    sizes, or whose greatest possible overlap, rule a link out, or whose members are all
-   in one component already. A first search, over bitmaps, tells which members still
-   have a possible partner in another component; for these alone the whole sets are
-   fetched, and a second search compares them exactly, joining components as it goes,
-   so that a group of copies costs about one comparison a member, not all its pairs.
-4. The blocks come in three rounds: every set in its first block only; one set for each
-   component and block; all blocks that still hold two components. A block of over
-   ``most`` sets is searched as pairs of chunks.
+   joined already; what it leaves joins. So a group of copies costs about one
+   comparison a member, not all its pairs.
+4. The sets that blocks join, over any number of blocks, form a cluster. Every set is in
+   one cluster at most, and linked sets are in the same one. Clusters are searched by the
+   same trees, now with the whole sets compared exactly.
+5. A block or cluster of over ``most`` sets is dealt into chunks: chunks are searched alone,
+   then one set for each component, and only if two components are left, pairs of chunks.
 
 Null and empty texts have no set and link with nothing: each is its own component. A
 null id takes part, but is nobody's component_id unless all ids of a component are
@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from .common import cut, id_and_text
 from .words import NOT_SPACE, byte_slices, find_words, mix
 
-#: Words in an n-gram, percent of the union; cells of the sketch (bits); sets searched in one block; links or sets that may be broadcast.
+#: Words in an n-gram, percent of the union; cells of the sketch (bits); sets searched in one block; sets whose ids may be broadcast.
 N, LEAST, CELL_BITS, MOST, BROADCAST = 5, 75, 22, 2048, 500_000
 SLICES = 64
 _FACTORS = mix(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1)
@@ -77,8 +77,8 @@ def set_id(s: np.ndarray) -> tuple[int, int]:
 
 
 def width_of(n: int) -> int:
-    """Bits of a bitmap: a power of two of four times the set's size at least, and 64."""
-    return max(64, 1 << (4 * n - 1).bit_length())
+    """Bits of a bitmap: a power of two of twice the set's size at least, and 64."""
+    return max(64, 1 << (2 * n - 1).bit_length())
 
 
 def bitmap(s: np.ndarray) -> np.ndarray:
@@ -168,25 +168,11 @@ def trees(sizes: np.ndarray, bitmaps: list[np.ndarray], percent: int) -> Iterato
         yield members, SignatureTree(sizes[members], np.stack([folded(bitmaps[i], least) for i in members]), percent)
 
 
-def possible_members(sizes: np.ndarray, bitmaps: list[np.ndarray], components: np.ndarray, percent: int = LEAST) -> np.ndarray:
-    """Which members may link with a member of another component."""
-    alive = np.zeros(len(sizes), dtype=bool)
-    for members, tree in trees(sizes, bitmaps, percent):
-        own = components[members]
-
-        def joined(a0: int, a1: int, b0: int, b1: int, own: np.ndarray = own, members: np.ndarray = members) -> bool:
-            if alive[members[a0:a1]].all() and alive[members[b0:b1]].all():
-                return True  # all known to have a partner
-            return bool((own[a0:a1] == own[a0]).all() and (own[b0:b1] == own[a0]).all())
-
-        for i, j in tree.pairs(joined):
-            if own[i] != own[j]:
-                alive[members[i]] = alive[members[j]] = True
-    return alive
-
+def joins_within(sizes: np.ndarray, bitmaps: list[np.ndarray], components: np.ndarray, percent: int = LEAST, sets: list[np.ndarray] | None = None) -> list[tuple[int, int]]:
+    """Pairs, each joining two components, that connect what links connect.
 
-def links_within(sets: list[np.ndarray], components: np.ndarray, percent: int = LEAST) -> list[tuple[int, int]]:
-    """Links, each joining two components, that connect whatever the members' links connect."""
+    Without sets, a pair that the bitmaps allow to link joins; with sets, only a link does.
+    """
     parent = {int(c): int(c) for c in components}
 
     def root(c: int) -> int:
@@ -196,8 +182,7 @@ def links_within(sets: list[np.ndarray], components: np.ndarray, percent: int =
         return c
 
     found = []
-    sizes = np.array([len(s) for s in sets], dtype=np.int64)
-    for members, tree in trees(sizes, [bitmap(s) for s in sets], percent):
+    for members, tree in trees(sizes, bitmaps, percent):
         own = [int(components[m]) for m in members]
 
         def joined(a0: int, a1: int, b0: int, b1: int, own: list[int] = own) -> bool:
@@ -208,12 +193,14 @@ def links_within(sets: list[np.ndarray], components: np.ndarray, percent: int =
             a, b = root(own[i]), root(own[j])
             if a == b:
                 continue
-            x, y = sets[members[i]], sets[members[j]]
-            at = np.minimum(np.searchsorted(y, x), len(y) - 1)
-            shared = int((y[at] == x).sum())
-            if 100 * shared >= percent * (len(x) + len(y) - shared):
-                parent[max(a, b)] = min(a, b)
-                found.append((int(members[i]), int(members[j])))
+            if sets is not None:
+                x, y = sets[members[i]], sets[members[j]]
+                at = np.minimum(np.searchsorted(y, x), len(y) - 1)
+                shared = int((y[at] == x).sum())
+                if 100 * shared < percent * (len(x) + len(y) - shared):
+                    continue
+            parent[max(a, b)] = min(a, b)
+            found.append((int(members[i]), int(members[j])))
     return found
 
 
@@ -264,7 +251,7 @@ def _crowding(signatures: DataFrame) -> np.ndarray:
 
 
 def _candidates(df: DataFrame, crowding: np.ndarray, n: int, seed: int, percent: int) -> DataFrame:
-    """Rows (block, id, place): the sets that share a gram of their prefixes; place orders a set's blocks."""
+    """Rows (block, id): the sets that share a gram of their prefixes."""
     spark = df.sparkSession
     shared = spark.sparkContext.broadcast(crowding)
     # grams of the most crowded cells are dealt over several tasks each
@@ -275,7 +262,7 @@ def _candidates(df: DataFrame, crowding: np.ndarray, n: int, seed: int, percent:
         for batch in batches:
             texts = batch.column(0).to_pylist()
             for i, j in byte_slices(texts):
-                grams, ids, places, salts = [], [], [], []
+                grams, ids, sizes, tags = [], [], [], []
                 for s in sets_of(texts[i:j], n, seed):
                     if not len(s) or (key := set_id(s)) in seen:
                         continue
@@ -284,37 +271,40 @@ def _candidates(df: DataFrame, crowding: np.ndarray, n: int, seed: int, percent:
                     order = np.lexsort((s, crowd))[: len(s) - (percent * len(s) + 99) // 100 + 1]
                     grams.append(s[order])
                     ids.append(np.full(len(order), key[0]))
-                    places.append((crowd[order].astype(np.int64) << 48) | (s[order] >> np.uint64(16)).astype(np.int64))
-                    salts.append(np.where(crowd[order] >= salted, 1 + key[0] % 64, 0).astype(np.int32))
+                    sizes.append(np.full(len(order), len(s), dtype=np.int32))
+                    tags.append(crowd[order].astype(np.int32) * 128 + np.where(crowd[order] >= salted, 1 + key[0] % 64, 0).astype(np.int32))
                 if grams:
-                    yield _batch({"gram": (np.concatenate(grams).view(np.int64), pa.int64()), "salt": (np.concatenate(salts), pa.int32()), "id": (np.concatenate(ids), pa.int64()), "place": (np.concatenate(places), pa.int64())})
+                    yield _batch({"gram": (np.concatenate(grams).view(np.int64), pa.int64()), "tag": (np.concatenate(tags), pa.int32()), "id": (np.concatenate(ids), pa.int64()), "size": (np.concatenate(sizes), pa.int32())})
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = [[c.to_numpy() for c in b.columns] for b in batches]
         if not got:
             return
-        gram, salt, key, place = (np.concatenate([g[i] for g in got]) for i in range(4))
+        gram, tag, key, size = (np.concatenate([g[i] for g in got]) for i in range(4))
         del got
-        order = np.lexsort((key, salt, gram))
-        gram, salt, key, place = gram[order], salt[order], key[order], place[order]
+        order = np.lexsort((key, size, tag, gram))
+        gram, tag, key, size = gram[order], tag[order], key[order], size[order].astype(np.int64)
         fresh = np.r_[True, (gram[1:] != gram[:-1]) | (key[1:] != key[:-1])]
-        gram, salt, key, place = gram[fresh], salt[fresh], key[fresh], place[fresh]
-        start = np.flatnonzero(np.r_[True, (gram[1:] != gram[:-1]) | (salt[1:] != salt[:-1])])
-        size = np.diff(np.r_[start, len(gram)])
+        gram, tag, key, size = gram[fresh], tag[fresh], key[fresh], size[fresh]
+        dealt = tag % 128 > 0
+        # a gap of sizes that no link spans ends a block too, but not where a gram's sets are dealt out
+        gap = (gram[1:] != gram[:-1]) | (tag[1:] != tag[:-1]) | ((100 * size[:-1] < percent * size[1:]) & ~dealt[1:])
+        start = np.flatnonzero(np.r_[True, gap])
+        members = np.diff(np.r_[start, len(gram)])
         # a block is named by its members; of a dealt gram, by the gram
         name = mix(np.add.reduceat(mix(key.view(np.uint64)), start)) >> np.uint64(1)
-        name = np.where(salt[start] > 0, mix(gram[start].view(np.uint64)) >> np.uint64(1), name)
-        kept = np.repeat((size > 1) | (salt[start] > 0), size)
-        name = np.repeat(name, size)[kept].view(np.int64)
-        key, place = key[kept], place[kept]
-        order = np.lexsort((place, key, name))
-        name, key, place = name[order], key[order], place[order]
+        name = np.where(dealt[start], mix(gram[start].view(np.uint64)) >> np.uint64(1), name)
+        kept = np.repeat((members > 1) | dealt[start], members)
+        name = np.repeat(name, members)[kept].view(np.int64)
+        key = key[kept]
+        order = np.lexsort((key, name))
+        name, key = name[order], key[order]
         fresh = np.r_[True, (name[1:] != name[:-1]) | (key[1:] != key[:-1])] if len(name) else np.zeros(0, dtype=bool)
-        yield _batch({"block": (name[fresh], pa.int64()), "id": (key[fresh], pa.int64()), "place": (place[fresh], pa.int64())})
+        yield _batch({"block": (name[fresh], pa.int64()), "id": (key[fresh], pa.int64())})
 
-    rows = df.select("text").mapInArrow(prefixes, "gram long, salt int, id long, place long")
-    found = rows.repartition("gram", "salt").mapInArrow(blocks, "block long, id long, place long")
-    return found.groupBy("block", "id").agg(F.min("place").alias("place"))
+    rows = df.select("text").mapInArrow(prefixes, "gram long, tag int, id long, size int")
+    found = rows.repartition("gram", "tag").mapInArrow(blocks, "block long, id long")
+    return found.distinct()
 
 
 def _grouped(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[list, pa.Table]]:
@@ -336,47 +326,61 @@ def _grouped(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[lis
         yield list(current), pa.Table.from_batches(held)
 
 
-def _search(rows: DataFrame, sizes: DataFrame, docs: DataFrame, n: int, seed: int, percent: int, most: int) -> DataFrame:
-    """Links (a, b) between components within blocks of (block, id, component)."""
-    mixed = rows.groupBy("block").agg(F.count("*").alias("members"), F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("block", F.ceil(F.col("members") / most).cast("int").alias("chunks"))
-    rows = rows.join(mixed, "block")
-    own = F.pmod(F.xxhash64("id"), F.col("chunks").cast("long")).cast("int")
-    rows = rows.withColumn("own", own).withColumn("other", F.explode_outer(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    rows = rows.select("block", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "id", "component")
+def _join(blocks: DataFrame, payload: DataFrame, percent: int, most: int, exact: bool) -> DataFrame:
+    """Pairs (a, b) that connect, over all blocks (block, id), what joins_within connects in each."""
+    cell = ["block", "low", "high"]
 
-    def sieve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, group in _grouped(batches, 3):
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, group in _grouped(batches, 3):
             ids, components = group.column(3).to_numpy(), group.column(4).to_numpy()
-            bits = [np.frombuffer(b, dtype=np.uint64) for b in group.column(6).to_pylist()]
-            alive = possible_members(group.column(5).to_numpy(), bits, components, percent)
-            k = int(alive.sum())
-            if k:
-                yield _batch({"block": ([key[0]] * k, pa.int64()), "low": ([key[1]] * k, pa.int32()), "high": ([key[2]] * k, pa.int32()), "id": (ids[alive], pa.int64()), "component": (components[alive], pa.int64())})
-
-    cell = ["block", "low", "high"]
-    dealt = rows.join(sizes.select("id", "size", "bits"), "id").select(*cell, "id", "component", "size", "bits").repartition(*cell).sortWithinPartitions(*cell)
-    alive = cut(dealt.mapInArrow(sieve, "block long, low int, high int, id long, component long"))
-    wanted = alive.select("id").distinct().join(sizes.select("id", "mark"), "id").select("id", "mark")
-    if wanted.count() <= BROADCAST:
-        wanted = F.broadcast(wanted)
+            held = [np.frombuffer(b, dtype=np.uint64) for b in group.column(6).to_pylist()]
+            bits = [bitmap(s) for s in held] if exact else held
+            pairs = joins_within(group.column(5).to_numpy(), bits, components, percent, held if exact else None)
+            if pairs:
+                yield _batch({"a": ([ids[i] for i, _ in pairs], pa.int64()), "b": ([ids[j] for _, j in pairs], pa.int64())})
+
+    counts = blocks.groupBy("block").agg(F.count("*").alias("members"))
+    large = cut(counts.where(F.col("members") > most))
+    if large.isEmpty():
+        dealt = blocks.select(F.col("block"), F.lit(0).alias("low"), F.lit(0).alias("high"), "id", F.col("id").alias("component"))
+        rows = dealt.join(payload, "id").select(*cell, "id", "component", *payload.columns[1:]).repartition(*cell).sortWithinPartitions(*cell)
+        return cut(rows.mapInArrow(search, "a long, b long").distinct())
+    pairs, labels = None, None
+    for turn in ("alone", "heads", "pairs"):
+        now = blocks.join(large if turn != "alone" else counts, "block")
+        if labels is None:
+            now = now.withColumn("component", F.col("id"))
+        else:
+            now = now.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
+        if turn == "heads":
+            now = now.groupBy("block", "component").agg(F.min("id").alias("id"), F.max("members").alias("members"))
+        elif turn == "pairs":
+            mixed = now.groupBy("block").agg(F.min("component").alias("least"), F.max("component").alias("greatest")).where("least < greatest").select("block")
+            now = now.join(mixed, "block", "left_semi")
+        chunks = F.ceil(F.col("members") / most).cast("int")
+        now = now.withColumn("chunks", chunks).withColumn("own", F.pmod(F.xxhash64("id"), chunks.cast("long")).cast("int"))
+        other = F.explode_outer(F.sequence(F.lit(0), F.col("chunks") - 1)) if turn == "pairs" else F.col("own")
+        now = now.withColumn("other", other).select("block", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "id", "component")
+        rows = now.join(payload, "id").select(*cell, "id", "component", *payload.columns[1:]).repartition(*cell).sortWithinPartitions(*cell)
+        found = rows.mapInArrow(search, "a long, b long").distinct()
+        pairs = cut(found if pairs is None else pairs.unionByName(found))
+        labels = components_of(pairs)
+    return pairs
+
+
+def _whole_sets(docs: DataFrame, wanted: DataFrame, n: int, seed: int) -> DataFrame:
+    """(id, size, grams) of the wanted sets (id, mark)."""
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for i, j in byte_slices(texts):
                 pairs = [(k, s) for k, s in zip(ids[i:j], sets_of(texts[i:j], n, seed), strict=True) if len(s) and set_id(s)[0] == k]
-                yield _batch({"id": ([k for k, _ in pairs], pa.int64()), "grams": ([s.tobytes() for _, s in pairs], pa.binary())})
-
-    def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, group in _grouped(batches, 3):
-            ids, components = group.column(3).to_numpy(), group.column(4).to_numpy()
-            found = links_within([np.frombuffer(b, dtype=np.uint64) for b in group.column(5).to_pylist()], components, percent)
-            if found:
-                yield _batch({"a": ([ids[i] for i, _ in found], pa.int64()), "b": ([ids[j] for _, j in found], pa.int64())})
+                yield _batch({"id": ([k for k, _ in pairs], pa.int64()), "size": ([len(s) for _, s in pairs], pa.int64()), "grams": ([s.tobytes() for _, s in pairs], pa.binary())})
 
-    whole = docs.join(wanted, "mark").select("id", "text").dropDuplicates(["id"]).mapInArrow(fetch, "id long, grams binary")
-    dealt = alive.join(whole, "id").select(*cell, "id", "component", "grams").repartition(*cell).sortWithinPartitions(*cell)
-    return dealt.mapInArrow(match, "a long, b long").distinct()
+    if wanted.count() <= BROADCAST:
+        wanted = F.broadcast(wanted)
+    return docs.join(wanted, "mark").select("id", "text").dropDuplicates(["id"]).mapInArrow(fetch, "id long, size long, grams binary")
 
 
 def components_of(links: DataFrame) -> DataFrame:
@@ -392,7 +396,8 @@ def components_of(links: DataFrame) -> DataFrame:
         edges = cut(small)
         now = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if now == before:
-            return edges.select(F.col("u").alias("id"), F.col("v").alias("component"))
+            roots = edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
+            return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(roots)
         before = now
 
 
@@ -408,20 +413,11 @@ def near_components(df: DataFrame, n: int = N, percent: int = LEAST, most: int =
         if sizes.where("low <> high").isEmpty():
             break
         seed += 1
-    rows = cut(_candidates(docs, _crowding(signatures), n, seed, percent))
-    links = None
-    labels = None
-    for turn in ("first", "heads", "all"):
-        now = rows if turn != "first" else rows.groupBy("id").agg(F.min_by("block", F.struct("place", "block")).alias("block"))
-        if labels is None:
-            now = now.select("block", "id", F.col("id").alias("component"))
-        else:
-            now = now.join(labels, "id", "left").select("block", "id", F.coalesce("component", "id").alias("component"))
-        if turn == "heads":
-            now = now.groupBy("block", "component").agg(F.min("id").alias("id")).select("block", "id", "component")
-        found = _search(now, sizes, docs, n, seed, percent, most)
-        links = cut(found if links is None else links.unionByName(found))
-        labels = components_of(links)
+    blocks = cut(_candidates(docs, _crowding(signatures), n, seed, percent))
+    clusters = components_of(_join(blocks, sizes.select("id", "size", "bits"), percent, most, exact=False))
+    clusters = clusters.select(F.col("component").alias("block"), "id")
+    wanted = cut(clusters.select("id").join(sizes.select("id", "mark"), "id"))
+    labels = components_of(_join(clusters, _whole_sets(docs, wanted, n, seed), percent, most, exact=True))
     grouped = sizes.select("id", "first_id").join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
     least = grouped.groupBy("component").agg(F.min("first_id").alias("component_id"))
     owner = grouped.join(least, "component").select("id", "component_id")
