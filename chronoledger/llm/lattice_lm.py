@@ -243,11 +243,13 @@ def lattice_scores(df: DataFrame, model_path: str, modulus: int = 7, remainder:
     log_p = fit(counts, lattice, rounds)
     least = least_frequent(counts, frequent)
     known = {bytes(r["word"]): r["n"] for r in counts.where(_bucket() >= least).collect()}  # at most ``frequent``
+    ends = counts.where(F.length("word") == 0).first()
+    known[b""] = ends["n"] if ends else 0
     shared = spark.sparkContext.broadcast((lattice, log_p, known))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice, log_p, known = shared.value
-        end_count, end_sum = known.get(b"", 0), float(log_p[lattice.end])
+        end_count, end_sum = known[b""], float(log_p[lattice.end])
         sums: dict[bytes, float] = {}
         for batch in batches:
             ids, texts, out, marks = (batch.column(i).to_pylist() for i in range(4))
