@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from .common import ascii_lower
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: Windows of the benchmark that may be broadcast (some 200 bytes each).
+#: Windows of the benchmark's items that may be broadcast (some 200 bytes each).
 BROADCAST_ROWS = 100_000
 
 
@@ -61,7 +61,7 @@ def benchmark_windows(benchmark: DataFrame, span: int, item_col: str, text_col:
 def hits(documents: DataFrame, benchmark: DataFrame, span: int = 10, k: int = 5, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Per row: doc_id, n_words, spans (array of start, end in words; end exclusive), items (sorted ids), copies."""
     windows = benchmark_windows(benchmark, span, item_col, item_text_col)
-    lengths = {r["length"]: r["n"] for r in windows.groupBy("length").agg(F.count("*").alias("n")).collect()}  # span rows at most
+    lengths = {r["length"]: r["n"] for r in windows.groupBy("length").agg(F.sum(F.size("items")).alias("n")).collect()}  # span rows at most
     small = sum(lengths.values()) <= broadcast_rows
     near = F.broadcast if small else (lambda df: df)
     full = windows.where(F.col("length") == span).select(F.split("window", " ").alias("words"))
@@ -88,9 +88,9 @@ def hits(documents: DataFrame, benchmark: DataFrame, span: int = 10, k: int = 5,
         matched = every.where("at >= 0").join(prints, "print", "left_semi").groupBy(*key).agg(F.collect_set(F.struct("at", "n")).alias("runs"))
         again = docs.select(*key, "words").alias("d").join(matched.alias("m"), [F.col(f"d.{c}").eqNullSafe(F.col(f"m.{c}")) for c in key])
         found = itself_rows.unionByName(again.select("d.doc_id", "d.mark", "words", F.inline_outer("runs")).select(*key, "at", "n", part.alias("words")))
-    # every run becomes its windows; the document's own row stays as it is
+    # every run becomes its windows; the document's own row bears one that no benchmark has, so that these rows spread too
     offset = F.explode_outer(F.when(F.col("at") < 0, F.array(F.lit(0))).otherwise(_positions(F.col("n"))))
-    found = found.withColumn("offset", offset).select(*key, F.when(F.col("at") < 0, F.col("n")).alias("n_words"), (F.col("at") + F.col("offset")).alias("at"), F.when(F.col("at") >= 0, _windows(F.col("words"), F.col("offset"), span)).alias("window"))
+    found = found.withColumn("offset", offset).select(*key, F.when(F.col("at") < 0, F.col("n")).alias("n_words"), (F.col("at") + F.col("offset")).alias("at"), F.when(F.col("at") >= 0, _windows(F.col("words"), F.col("offset"), span)).otherwise(F.concat(F.lit(" "), F.col("mark").cast("string"))).alias("window"))
     short = sorted(n for n in lengths if n < span)
     if short:
         # words of documents that begin a short item, with as many words as the longest needs
