@@ -29,6 +29,7 @@ columns are ignored.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -40,8 +41,10 @@ from .common import cut, id_and_text
 from .words import NOT_SPACE, byte_slices, find_words, mix
 
 #: Words in an n-gram, percent of the union; cells of the sketch (bits); sets searched in one block; sets whose ids may be broadcast.
-N, LEAST, CELL_BITS, MOST, BROADCAST = 5, 75, 22, 2048, 500_000
+N, LEAST, CELL_BITS, MOST, BROADCAST = 5, 75, 24, 2048, 500_000
 SLICES = 64
+#: Links that a task of the component search takes up; crowding from which a gram's sets are dealt over several tasks.
+EDGES, DEALT = 200_000, 30
 _FACTORS = mix(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1)
 
 
@@ -97,7 +100,7 @@ class SignatureTree:
 
     LEAF, FAN = 8, 4
 
-    def __init__(self, sizes: np.ndarray, bitmaps: np.ndarray, percent: int, same: Callable[[int, int], bool] | None = None):
+    def __init__(self, sizes: np.ndarray, bitmaps: np.ndarray, percent: int):
         self.sizes, self.bits, self.percent = sizes, bitmaps, percent
         self.levels = [[(i, min(i + self.LEAF, len(sizes))) for i in range(0, len(sizes), self.LEAF)]]
         self.either = [np.stack([np.bitwise_or.reduce(bitmaps[a:b], axis=0) for a, b in self.levels[0]])]
@@ -220,34 +223,41 @@ def _signatures(df: DataFrame, n: int, seed: int) -> DataFrame:
             ids, texts, marks = (batch.column(i).to_pylist() for i in range(3))
             for i, j in byte_slices(texts):
                 sets = sets_of(texts[i:j], n, seed)
-                hit, times = np.unique((np.concatenate(sets) >> np.uint64(64 - CELL_BITS)).astype(np.int64), return_counts=True)
+                hit, times = np.unique(_cells(np.concatenate(sets)), return_counts=True)
                 cells[hit] = np.minimum(cells[hit].astype(np.int64) + times, 255)
                 keys = [set_id(s) if len(s) else (None, None) for s in sets]
                 yield _batch({"doc_id": (ids[i:j], pa.int64()), "mark": (marks[i:j], pa.int64()), "size": ([len(s) for s in sets], pa.int64()), "id": ([k[0] for k in keys], pa.int64()), "check": ([k[1] for k in keys], pa.int64()), "bits": ([bitmap(s).tobytes() if len(s) else None for s in sets], pa.binary()), "slice": ([None] * (j - i), pa.int32()), "counts": ([None] * (j - i), pa.binary())})
         part = len(cells) // SLICES
         none = [None] * SLICES
-        yield _batch({**{k: (none, pa.int64()) for k in ("doc_id", "mark", "size", "id", "check")}, "bits": (none, pa.binary()), "slice": (range(SLICES), pa.int32()), "counts": ([cells[k * part : (k + 1) * part].tobytes() for k in range(SLICES)], pa.binary())})
+        yield _batch({**{k: (none, pa.int64()) for k in ("doc_id", "mark", "size", "id", "check")}, "bits": (none, pa.binary()), "slice": (range(SLICES), pa.int32()), "counts": ([zlib.compress(cells[k * part : (k + 1) * part], 1) for k in range(SLICES)], pa.binary())})
 
     return df.mapInArrow(run, "doc_id long, mark long, size long, id long, check long, bits binary, slice int, counts binary")
 
 
 def _crowding(signatures: DataFrame) -> np.ndarray:
-    """For each sketch cell how crowded it is, in half powers of two over twice the mean; 0 for most cells."""
+    """For each sketch cell how crowded it is, in half powers of two over what chance makes of the mean; 0 for most cells."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for k, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                sums[k] = sums.get(k, 0) + np.frombuffer(c, dtype=np.uint8).astype(np.int64)
-        yield _batch({"slice": (list(sums), pa.int32()), "counts": ([s.tobytes() for s in sums.values()], pa.binary())})
+                sums[k] = sums.get(k, 0) + np.frombuffer(zlib.decompress(c), dtype=np.uint8).astype(np.uint32)
+        yield _batch({"slice": (list(sums), pa.int32()), "counts": ([zlib.compress(s, 1) for s in sums.values()], pa.binary())})
 
     slices = signatures.where("slice is not null").select("slice", "counts").repartition(SLICES, "slice").mapInArrow(add, "slice int, counts binary")
-    total = np.zeros(1 << CELL_BITS, dtype=np.int64)
-    part = len(total) // SLICES
+    total = np.zeros((SLICES, (1 << CELL_BITS) // SLICES), dtype=np.uint32)
     for r in slices.toLocalIterator():  # a fixed number of cells, whatever the input
-        total[r["slice"] * part : (r["slice"] + 1) * part] += np.frombuffer(r["counts"], dtype=np.int64)
-    over = np.maximum(total / max(2 * total.mean(), 2), 1)
-    return np.minimum(np.ceil(2 * np.log2(over)), 255).astype(np.uint8)
+        total[r["slice"]] += np.frombuffer(zlib.decompress(bytes(r["counts"])), dtype=np.uint32)
+    mean = total.mean(dtype=np.float64)
+    chance = max(mean + 3 * np.sqrt(mean), 2)
+    out = np.empty(total.shape, dtype=np.uint8)
+    for k in range(SLICES):
+        out[k] = np.minimum(np.ceil(2 * np.log2(np.maximum(total[k] / chance, 1))), 255)
+    return out.ravel()
+
+
+def _cells(grams: np.ndarray) -> np.ndarray:
+    return (grams >> np.uint64(64 - CELL_BITS)).astype(np.int64)
 
 
 def _candidates(df: DataFrame, crowding: np.ndarray, n: int, seed: int, percent: int) -> DataFrame:
@@ -255,7 +265,7 @@ def _candidates(df: DataFrame, crowding: np.ndarray, n: int, seed: int, percent:
     spark = df.sparkSession
     shared = spark.sparkContext.broadcast(crowding)
     # grams of the most crowded cells are dealt over several tasks each
-    salted = np.uint8(30)
+    salted = np.uint8(DEALT)
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         crowding, seen = shared.value, set()
@@ -267,7 +277,7 @@ def _candidates(df: DataFrame, crowding: np.ndarray, n: int, seed: int, percent:
                     if not len(s) or (key := set_id(s)) in seen:
                         continue
                     seen.add(key)
-                    crowd = crowding[(s >> np.uint64(64 - CELL_BITS)).astype(np.int64)]
+                    crowd = crowding[_cells(s)]
                     order = np.lexsort((s, crowd))[: len(s) - (percent * len(s) + 99) // 100 + 1]
                     grams.append(s[order])
                     ids.append(np.full(len(order), key[0]))
