@@ -394,21 +394,25 @@ def _whole_sets(docs: DataFrame, wanted: DataFrame, n: int, seed: int) -> DataFr
 
 
 def components_of(links: DataFrame) -> DataFrame:
-    """(id, component): the least id that links reach, for each id in a link. Alternating large and small stars."""
+    """(id, component): the least id that links reach, for each id in a link. Alternating large and small stars.
+
+    Tasks are as many as the links need, at ``EDGES`` each: with more, files of almost nothing would fill the disk.
+    """
     edges = cut(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
     before = None
     while True:
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        small = large.join(large.groupBy("u").agg(F.min("v").alias("m")), "u")
-        small = small.select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
-        edges = cut(small)
         now = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if now == before:
             roots = edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
             return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(roots)
-        before = now
+        before, tasks = now, now["n"] // EDGES + 1
+        edges = edges.coalesce(tasks)
+        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).coalesce(tasks)
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).coalesce(tasks).distinct().coalesce(tasks)
+        small = large.join(large.groupBy("u").agg(F.min("v").alias("m")), "u")
+        small = small.select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v")
+        edges = cut(small.coalesce(tasks).distinct().coalesce(tasks))
 
 
 def near_components(df: DataFrame, n: int = N, percent: int = LEAST, most: int = MOST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
