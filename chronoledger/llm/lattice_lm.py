@@ -36,8 +36,8 @@ from .common import cut, held_out, id_and_text, map_arrow
 from .words import byte_slices, mix
 
 MARK = "▁".encode()
-#: Most words whose counts are broadcast, and words that a worker counts before it hands them on.
-FREQUENT, HELD_WORDS = 150_000, 250_000
+#: Most words whose counts are broadcast, words that a worker counts before it hands them on, and other words whose sums it remembers.
+FREQUENT, HELD_WORDS, MEMORY = 150_000, 250_000, 150_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 
@@ -243,14 +243,16 @@ def lattice_scores(df: DataFrame, model_path: str, modulus: int = 7, remainder:
     log_p = fit(counts, lattice, rounds)
     least = least_frequent(counts, frequent)
     known = {bytes(r["word"]): r["n"] for r in counts.where(_bucket() >= least).collect()}  # at most ``frequent``
+    often = [w for w in known if w]
+    sums = dict(zip(often, lattice.log_sums(often, log_p).tolist(), strict=True))
     ends = counts.where(F.length("word") == 0).first()
     known[b""] = ends["n"] if ends else 0
-    shared = spark.sparkContext.broadcast((lattice, log_p, known))
+    shared = spark.sparkContext.broadcast((lattice, log_p, known, sums))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lattice, log_p, known = shared.value
+        lattice, log_p, known, often = shared.value
         end_count, end_sum = known[b""], float(log_p[lattice.end])
-        sums: dict[bytes, float] = {}
+        sums = dict(often)
         for batch in batches:
             ids, texts, out, marks = (batch.column(i).to_pylist() for i in range(4))
             for i, j in byte_slices(texts):
@@ -259,9 +261,9 @@ def lattice_scores(df: DataFrame, model_path: str, modulus: int = 7, remainder:
                 times = np.fromiter(chain.from_iterable(t.values() for t in tables), dtype=np.int64, count=len(words))
                 doc = np.repeat(np.arange(j - i), [len(t) for t in tables])
                 new = list(set(words).difference(sums))
-                if len(sums) + len(new) > HELD_WORDS:
-                    sums.clear()
-                    new = list(set(words))
+                if len(sums) + len(new) > len(often) + MEMORY:
+                    sums = dict(often)
+                    new = list(set(words).difference(sums))
                 sums.update(zip(new, lattice.log_sums(new, log_p).tolist(), strict=True))
                 score = np.bincount(doc, weights=times * np.fromiter(map(sums.__getitem__, words), dtype=np.float64, count=len(words)), minlength=j - i) + end_sum
                 count = np.fromiter((known.get(w, 0) for w in words), dtype=np.int64, count=len(words))
