@@ -32,7 +32,7 @@ WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 WORD_END = "</w>"
 #: Chunks that a worker remembers with their ids.
-MEMORY = 250_000
+MEMORY = 200_000
 
 
 def byte_symbols() -> list[str]:
@@ -81,15 +81,24 @@ class WordCodec:
         ends = np.cumsum(lengths) - 1
         symbols[ends] = self.last[flat[ends]]
         symbols, sequence = self.table.merge(symbols, np.repeat(np.arange(len(words)), lengths))
-        return np.split(symbols.astype("<u4"), np.searchsorted(sequence, np.arange(1, len(words)))) if words else []
+        symbols = symbols.astype("<u4")
+        edges = np.searchsorted(sequence, np.arange(len(words) + 1)).tolist()
+        return [symbols[a:b] for a, b in zip(edges, edges[1:], strict=False)]
 
     def learn(self, chunks: list[str]) -> None:
-        cut = [() if c[0] == "\n" else self.words.findall(c) for c in chunks]
+        """Remember the ids of chunks; most are one word of letters, which needs no pattern."""
+        cut = [(c,) if c.isalpha() else () if c[0] == "\n" else self.words.findall(c) for c in chunks]
         words = list(set().union(*cut))
         ids = dict(zip(words, self.encode_words(words), strict=True))
+        token = self.token
         for chunk, parts in zip(chunks, cut, strict=True):
-            found = np.concatenate([ids[w] for w in parts]) if parts else np.array([self.special[chunk[1:]]] if chunk[0] == "\n" else [], dtype="<u4")
-            self.known[chunk] = found.astype("<u4").tobytes(), "".join(" " + self.token[i] for i in found.tolist())
+            if len(parts) == 1:
+                found = ids[parts[0]]
+            elif parts:
+                found = np.concatenate([ids[w] for w in parts])
+            else:
+                found = np.array([self.special[chunk[1:]]] if chunk[0] == "\n" else [], dtype="<u4")
+            self.known[chunk] = found.astype("<u4").tobytes(), "".join([" " + token[i] for i in found.tolist()])
 
     def encode(self, texts: list[str]) -> list[tuple[bytes, str]]:
         """Each text's ids (little-endian unsigned 32-bit) and its decoded text."""
