@@ -63,8 +63,9 @@ def brute_components(every):
     return {i: (len(s), root(i)) for i, s in enumerate(sets)}
 
 
-@pytest.mark.parametrize("most", [2048, 3])
-def test_near_components(docs, most):
+@pytest.mark.parametrize(("most", "dealt"), [(2048, 30), (3, 30), (2048, 0)])
+def test_near_components(docs, monkeypatch, most, dealt):
+    monkeypatch.setattr(signature_join, "DEALT", dealt)
     every = near_copies()
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in signature_join.near_components(docs(every), most=most).collect()}
     assert got == brute_components(every)
