@@ -2,14 +2,22 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import suppress
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.lineage import checkpoint_dir, cut
+
+__all__ = ["ascii_lower", "checkpoint_dir", "cut", "give_back", "held_out", "id_and_text", "map_arrow", "pieces", "table", "text_slices"]
+
 #: Characters of text that a Python worker takes up at a time; bounds its memory whatever the batch.
-CHUNK_CHARS = 2_000_000
+CHUNK_CHARS = 1_000_000
+#: Rows of an Arrow batch that become Python objects at a time.
+PIECE_ROWS = 2000
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -29,13 +37,27 @@ def id_and_text(df: DataFrame, id_col: str, text_col: str, text_type: str = "str
     return df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), text.cast(text_type).alias("text"))
 
 
+def pieces(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches' rows, PIECE_ROWS at a time: Python copies of a batch's texts stay small. Gives freed memory back at the end."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, PIECE_ROWS):
+            yield batch.slice(i, PIECE_ROWS)
+    give_back()
+
+
+def give_back() -> None:
+    """Return freed memory to the system; a reused Python worker would keep it while other operators run."""
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):  # not every C library can
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterable[pa.RecordBatch]], schema) -> DataFrame:
-    """Apply fn to each Arrow batch."""
+    """Apply fn to pieces of the rows as Arrow batches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                yield from fn(batch)
+        for piece in pieces(batches):
+            yield from fn(piece)
 
     return df.mapInArrow(run, schema)
 
@@ -55,20 +77,3 @@ def text_slices(texts: list, most: int = CHUNK_CHARS) -> Iterator[tuple[int, int
 def held_out(doc_id: Column, modulus: int, remainder: int) -> Column:
     """Whether crc32 of the id's decimal text has the remainder that keeps a row out of training (null id: as '')."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % modulus == remainder
-
-
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder the session names; a local default only where it names none, as in tests."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "/tmp/chronoledger-checkpoints"
-        spark.conf.set("spark.checkpoint.dir", found)
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(found)
-    return found
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise df in the shared checkpoint folder and cut its lineage there."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_text, map_arrow
+from .common import id_and_text, map_arrow, pieces
 
 DELETED = b" \t\n\x0b\x0c\r"
 #: Bytes of content a table may hold before it spills, and files that a table spills to.
@@ -139,7 +139,7 @@ def grace(records: Iterable[Record], folder: str, budget: int = BUDGET, level: i
 
 
 def _records(batches: Iterable[pa.RecordBatch]) -> Iterator[Record]:
-    for batch in batches:
+    for batch in pieces(batches):
         yield from zip(*(c.to_pylist() for c in batch.columns), strict=True)
 
 
@@ -172,7 +172,7 @@ def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = OpenTable()
-        for batch in batches:
+        for batch in pieces(batches):
             for doc_id, text, length in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 content = normalised(text)
                 table.add((hashlib.sha256(content).digest(), content, length, doc_id, 1))

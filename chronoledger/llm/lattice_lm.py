@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, held_out, id_and_text, map_arrow
+from .common import cut, held_out, id_and_text, pieces
 from .words import byte_slices, mix
 
 MARK = "▁".encode()
@@ -172,7 +172,7 @@ def word_counts(df: DataFrame) -> DataFrame:
         def handed() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(held.keys(), pa.binary()), pa.array(held.values(), pa.int64())], names=["word", "n"])
 
-        for batch in batches:
+        for batch in pieces(batches):
             texts = batch.column(1).to_pylist()
             for i, j in byte_slices(texts):
                 for t in texts[i:j]:
@@ -253,7 +253,7 @@ def lattice_scores(df: DataFrame, model_path: str, modulus: int = 7, remainder:
         lattice, log_p, known, often = shared.value
         end_count, end_sum = known[b""], float(log_p[lattice.end])
         sums = dict(often)
-        for batch in batches:
+        for batch in pieces(batches):
             ids, texts, out, marks = (batch.column(i).to_pylist() for i in range(4))
             for i, j in byte_slices(texts):
                 tables = [Counter(t.lower().split()) for t in texts[i:j]]

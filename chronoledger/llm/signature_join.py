@@ -37,14 +37,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, id_and_text
+from .common import cut, give_back, id_and_text, pieces
 from .words import NOT_SPACE, byte_slices, find_words, mix
 
 #: Words in an n-gram, percent of the union; cells of the sketch (bits); sets searched in one block; sets whose ids may be broadcast.
 N, LEAST, CELL_BITS, MOST, BROADCAST = 5, 75, 24, 2048, 500_000
 SLICES = 64
-#: Links that a task of the component search takes up; crowding from which a gram's sets are dealt over several tasks.
-EDGES, DEALT = 200_000, 30
+#: Links that a task of the component search takes up; rows of a gram from which they are dealt over several tasks.
+EDGES, DEALT = 200_000, 4_000_000
 _FACTORS = mix(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1)
 
 
@@ -219,7 +219,7 @@ def _signatures(df: DataFrame, n: int, seed: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells = np.zeros(1 << CELL_BITS, dtype=np.uint8)
-        for batch in batches:
+        for batch in pieces(batches):
             ids, texts, marks = (batch.column(i).to_pylist() for i in range(3))
             for i, j in byte_slices(texts):
                 sets = sets_of(texts[i:j], n, seed)
@@ -234,8 +234,11 @@ def _signatures(df: DataFrame, n: int, seed: int) -> DataFrame:
     return df.mapInArrow(run, "doc_id long, mark long, size long, id long, check long, bits binary, slice int, counts binary")
 
 
-def _crowding(signatures: DataFrame) -> np.ndarray:
-    """For each sketch cell how crowded it is, in half powers of two over what chance makes of the mean; 0 for most cells."""
+def _crowding(signatures: DataFrame) -> tuple[np.ndarray, int]:
+    """For each sketch cell how crowded it is, in half powers of two over what chance makes of the mean; 0 for most cells.
+
+    Also the crowding of a cell with DEALT rows.
+    """
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
@@ -253,23 +256,26 @@ def _crowding(signatures: DataFrame) -> np.ndarray:
     out = np.empty(total.shape, dtype=np.uint8)
     for k in range(SLICES):
         out[k] = np.minimum(np.ceil(2 * np.log2(np.maximum(total[k] / chance, 1))), 255)
-    return out.ravel()
+    return out.ravel(), max(1, int(np.ceil(2 * np.log2(max(DEALT, 1) / chance))))
 
 
 def _cells(grams: np.ndarray) -> np.ndarray:
     return (grams >> np.uint64(64 - CELL_BITS)).astype(np.int64)
 
 
-def _candidates(df: DataFrame, crowding: np.ndarray, n: int, seed: int, percent: int) -> DataFrame:
+def _candidates(df: DataFrame, crowding: np.ndarray, dealt_from: int, n: int, seed: int, percent: int) -> DataFrame:
     """Rows (block, id): the sets that share a gram of their prefixes."""
     spark = df.sparkSession
     shared = spark.sparkContext.broadcast(crowding)
-    # grams of the most crowded cells are dealt over several tasks each
-    salted = np.uint8(DEALT)
+
+    def shares(crowd: np.ndarray, key: int) -> np.ndarray:
+        """Which share of a gram's sets this set is in, from 1; 0 where a gram isn't dealt. Shares double with the rows."""
+        over = crowd.astype(np.int64) - dealt_from
+        return np.where(over >= 0, 1 + key % (2 << np.minimum(np.maximum(over, 0) // 2, 16)), 0)
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         crowding, seen = shared.value, set()
-        for batch in batches:
+        for batch in pieces(batches):
             texts = batch.column(0).to_pylist()
             for i, j in byte_slices(texts):
                 grams, ids, sizes, tags = [], [], [], []
@@ -282,7 +288,7 @@ def _candidates(df: DataFrame, crowding: np.ndarray, n: int, seed: int, percent:
                     grams.append(s[order])
                     ids.append(np.full(len(order), key[0]))
                     sizes.append(np.full(len(order), len(s), dtype=np.int32))
-                    tags.append(crowd[order].astype(np.int32) * 128 + np.where(crowd[order] >= salted, 1 + key[0] % 64, 0).astype(np.int32))
+                    tags.append((crowd[order].astype(np.int64) << 20 | shares(crowd[order], key[0])).astype(np.int32))
                 if grams:
                     yield _batch({"gram": (np.concatenate(grams).view(np.int64), pa.int64()), "tag": (np.concatenate(tags), pa.int32()), "id": (np.concatenate(ids), pa.int64()), "size": (np.concatenate(sizes), pa.int32())})
 
@@ -296,7 +302,7 @@ def _candidates(df: DataFrame, crowding: np.ndarray, n: int, seed: int, percent:
         gram, tag, key, size = gram[order], tag[order], key[order], size[order].astype(np.int64)
         fresh = np.r_[True, (gram[1:] != gram[:-1]) | (key[1:] != key[:-1])]
         gram, tag, key, size = gram[fresh], tag[fresh], key[fresh], size[fresh]
-        dealt = tag % 128 > 0
+        dealt = tag % (1 << 20) > 0
         # a gap of sizes that no link spans ends a block too, but not where a gram's sets are dealt out
         gap = (gram[1:] != gram[:-1]) | (tag[1:] != tag[:-1]) | ((100 * size[:-1] < percent * size[1:]) & ~dealt[1:])
         start = np.flatnonzero(np.r_[True, gap])
@@ -311,6 +317,8 @@ def _candidates(df: DataFrame, crowding: np.ndarray, n: int, seed: int, percent:
         name, key = name[order], key[order]
         fresh = np.r_[True, (name[1:] != name[:-1]) | (key[1:] != key[:-1])] if len(name) else np.zeros(0, dtype=bool)
         yield _batch({"block": (name[fresh], pa.int64()), "id": (key[fresh], pa.int64())})
+        del gram, tag, key, size, order, fresh, name
+        give_back()
 
     rows = df.select("text").mapInArrow(prefixes, "gram long, tag int, id long, size int")
     found = rows.repartition("gram", "tag").mapInArrow(blocks, "block long, id long")
@@ -334,6 +342,7 @@ def _grouped(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[lis
                 start = i
     if held:
         yield list(current), pa.Table.from_batches(held)
+    give_back()
 
 
 def _join(blocks: DataFrame, payload: DataFrame, percent: int, most: int, exact: bool) -> DataFrame:
@@ -382,7 +391,7 @@ def _whole_sets(docs: DataFrame, wanted: DataFrame, n: int, seed: int) -> DataFr
     """(id, size, grams) of the wanted sets (id, mark)."""
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for i, j in byte_slices(texts):
                 pairs = [(k, s) for k, s in zip(ids[i:j], sets_of(texts[i:j], n, seed), strict=True) if len(s) and set_id(s)[0] == k]
@@ -427,7 +436,7 @@ def near_components(df: DataFrame, n: int = N, percent: int = LEAST, most: int =
         if sizes.where("low <> high").isEmpty():
             break
         seed += 1
-    blocks = cut(_candidates(docs, _crowding(signatures), n, seed, percent))
+    blocks = cut(_candidates(docs, *_crowding(signatures), n, seed, percent))
     clusters = components_of(_join(blocks, sizes.select("id", "size", "bits"), percent, most, exact=False))
     clusters = clusters.select(F.col("component").alias("block"), "id")
     wanted = cut(clusters.select("id").join(sizes.select("id", "mark"), "id"))

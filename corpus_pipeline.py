@@ -24,10 +24,10 @@ BROADCAST = 500_000
 
 def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
     """The rows of docs whose id is not among the rejected, with null ids matching null ids."""
-    gone = cut(rejected.select(F.col("doc_id").alias("gone")).distinct())
+    gone = cut(rejected.select(F.col("doc_id").alias("_rejected_id")).distinct())
     if gone.count() <= BROADCAST:
         gone = F.broadcast(gone)
-    return docs.join(gone, docs["doc_id"].eqNullSafe(F.col("gone")), "left_anti")
+    return docs.join(gone, docs["doc_id"].eqNullSafe(F.col("_rejected_id")), "left_anti")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
