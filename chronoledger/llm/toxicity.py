@@ -29,6 +29,8 @@ from .words import ALNUM, SENTENCE_END, Words, byte_slices, find_words, fold32
 MAX_ROWS, MAX_WORDS = 4000, 1_500_000
 #: Features are kept whose share of positive bags is over so many times that of all bags.
 SCREEN = 3.0
+#: Weight of a positive bag in training, beside 1 of a negative one.
+POSITIVE = 5.0
 #: Lengths in bytes of the word beginnings that are features beside whole words.
 STEMS = (4, 5, 6, 7)
 
@@ -112,26 +114,44 @@ def fit(bags: list[tuple[int, bytes, bytes]], rounds: int = 2000, rate: float =
     if not len(labels) or labels.min() == labels.max():
         return NoisyOr(np.zeros(0, dtype=np.uint32), np.zeros(0), 0.0, float(labels.mean()) if len(labels) else 0.0)
     total = len(bags)
-    features, index = np.unique(np.concatenate([np.frombuffer(b[1], dtype=np.uint32) for b in bags]), return_inverse=True)
-    bag = np.repeat(np.arange(total), [len(b[1]) // 4 for b in bags])
-    pair = np.unique(index * total + bag)
-    in_bags = np.bincount(pair // total, minlength=len(features))
-    in_positive = np.bincount(pair // total, weights=labels[pair % total], minlength=len(features))
-    kept = (in_bags >= max(2, min(5, total // 50), total // 400)) & (in_positive > SCREEN * labels.mean() * in_bags)
-    sentence = np.concatenate([np.frombuffer(b[2], dtype=np.int32) for b in bags])
-    instances, instance = np.unique(bag << 32 | sentence, return_inverse=True)
+    least = max(2, min(5, total // 50), total // 400)
+
+    def screened(in_bags: np.ndarray, in_positive: np.ndarray) -> np.ndarray:
+        return (in_bags >= least) & (in_positive > SCREEN * labels.mean() * in_bags)
+
+    # a first screening over hashed counts keeps the memory of the rest small; few features pass it
+    in_bags, in_positive = np.zeros(1 << 24, dtype=np.uint16), np.zeros(1 << 24, dtype=np.uint16)
+    for y, f, _ in bags:
+        hit = np.unique(np.frombuffer(f, dtype=np.uint32) >> np.uint32(8))
+        in_bags[hit] += 1
+        in_positive[hit] += np.uint16(y)
+    passed = screened(in_bags, in_positive)
+    del in_bags, in_positive
+    columns, keys, every = [], [], []
+    for i, (_, f, s) in enumerate(bags):
+        feature, key = np.frombuffer(f, dtype=np.uint32), np.int64(i) << 32 | np.frombuffer(s, dtype=np.int32)
+        use = passed[feature >> np.uint32(8)]
+        columns.append(feature[use])
+        keys.append(key[use])
+        every.append(np.unique(key))
+    instances = np.concatenate(every)
+    features, index = np.unique(np.concatenate(columns), return_inverse=True)
+    row = np.searchsorted(instances, np.concatenate(keys))
     bag_of = instances >> 32
+    del columns, keys, every, passed
+    pair = np.unique(index * total + bag_of[row])
+    kept = screened(np.bincount(pair // total, minlength=len(features)), np.bincount(pair // total, weights=labels[pair % total], minlength=len(features)))
     features, used = features[kept], kept[index]
     n = len(features)
-    pair = np.unique(instance[used] * n + (np.cumsum(kept) - 1)[index[used]])
+    pair = np.unique(row[used] * n + (np.cumsum(kept) - 1)[index[used]])
     row, column = pair // max(n, 1), pair % max(n, 1)
-    del index, bag, instance, sentence, used, pair
+    del index, used, pair
 
     def gradient(x: np.ndarray) -> np.ndarray:
         z = np.bincount(row, weights=x[column], minlength=len(instances)) + x[n]
         rise = np.logaddexp(0, z)
         mass = np.maximum(np.bincount(bag_of, weights=rise, minlength=total), 1e-9)
-        pull = np.where(labels == 1, -1 / np.expm1(np.minimum(mass, 500)), 1.0)
+        pull = np.where(labels == 1, -POSITIVE / np.expm1(np.minimum(mass, 500)), 1.0)
         dz = pull[bag_of] * -np.expm1(-rise) / total
         return np.r_[np.bincount(column, weights=dz[row], minlength=n), dz.sum()] + np.r_[penalty * x[:n], 0]
 

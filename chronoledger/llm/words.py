@@ -56,7 +56,7 @@ class Words:
     hash: np.ndarray
     text: np.ndarray  # ordinal of each word's text
     text_start: np.ndarray  # offset of each text
-    prefixes: list[tuple[np.ndarray, np.ndarray]]  # for each length asked for: ordinals of longer words, hashes
+    prefixes: list[tuple[np.ndarray, np.ndarray]]  # for each length asked for: ordinals of words that long, hashes
 
 
 def fold32(h: np.ndarray) -> np.ndarray:
@@ -66,7 +66,7 @@ def fold32(h: np.ndarray) -> np.ndarray:
 def find_words(texts: list[bytes], inside: np.ndarray = NOT_SPACE, fold: bool = True, prefixes: tuple[int, ...] = ()) -> Words:
     """The maximal runs of ``inside`` bytes of each text; A-Z count as a-z in hashes if ``fold``.
 
-    ``prefixes`` are lengths in bytes for which longer words also get the hash of their beginning.
+    ``prefixes`` are lengths in bytes for which words of that length at least also get the hash of their beginning.
     """
     joined = b"\n".join(texts) + b"\n"
     raw = np.frombuffer(joined, dtype=np.uint8)
@@ -84,7 +84,7 @@ def find_words(texts: list[bytes], inside: np.ndarray = NOT_SPACE, fold: bool =
     ends = np.cumsum(lengths)
     parts = []
     for k in prefixes:
-        at = np.flatnonzero(end - start > k)
+        at = np.flatnonzero(end - start >= k)
         parts.append((at, mix((total[start[at] + k] - total[start[at]]) * down[start[at]] + np.uint64(k << 40))))
     return Words(raw, start, end, mix(value + (end - start).astype(np.uint64)), np.searchsorted(ends, start, side="right"), ends - lengths, parts)
 
