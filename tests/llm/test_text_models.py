@@ -214,3 +214,30 @@ def test_licences(docs):
     plan = licences.licences(docs(every), model)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
     assert licences.licences(docs([]), model).count() == 0
+
+
+def test_licences_tell_siblings_apart(docs):
+    model = licences.train()
+    every = {
+        "Licensed under CC BY 4.0.": "cc-by",
+        "Licensed under CC BY-NC 4.0.": "cc-by-nc",
+        "Licensed under CC BY-SA 4.0.": "cc-by-sa",
+        "Licensed under CC BY-ND 4.0.": "cc-by-nd",
+        "Licensed under the GNU General Public License, version 2.": "gpl-2.0",
+        "This work is licensed under the GNU General Public License, version 2.": "gpl-2.0",
+        "This work is licensed under the GNU Lesser General Public License, version 3.": "lgpl-3.0",
+        "This work is licensed under the GNU Affero General Public License, version 3.": "agpl-3.0",
+        "All rights reserved.": "all-rights-reserved",
+        "Proprietary and confidential. All rights reserved.": "proprietary",
+        "Released under the non MIT License.": "",
+        "Licensed under CC BY-XY 4.0.": "",
+    }
+    got = {r.doc_id: r.families for r in licences.licences(docs(list(every)), model).collect()}
+    assert [got[i] for i in range(len(every))] == list(every.values())
+
+
+def test_licences_every_template(docs):
+    every = [(f, t) for f, texts in licences.TEMPLATES.items() for t in texts]
+    got = {r.doc_id: r for r in licences.licences(docs([f"see below. {t} and more of it" for _, t in every])).collect()}
+    assert [got[i].families for i in range(len(every))] == [f for f, _ in every]
+    assert all(r.n_confirmed == 1 and r.n_unconfirmed == 0 for r in got.values())
