@@ -251,19 +251,19 @@ def _notices(hits: DataFrame, model: Classifier, confirm: float) -> DataFrame:
     held = F.transform("hits", lambda h: h["gram"])
     able = F.filter(F.sequence(F.lit(0), F.lit(len(templates) - 1)), lambda t: F.size(F.array_except(F.get(F.col("key_grams"), t), F.col("grams"))) == 0)
     rows = hits.select("doc_id", "mark", "hits", F.array_distinct(held).alias("grams"), key_grams.alias("key_grams")).select("doc_id", "mark", "hits", F.explode(able).alias("template"))
-    rows = rows.select("doc_id", "mark", "template", F.inline("hits")).where(F.col("line") == F.col("last")).join(F.broadcast(table), ["template", "gram", "pair"])
+    rows = rows.select("doc_id", "mark", "template", F.inline("hits")).join(F.broadcast(table), ["template", "gram", "pair"])
     # shifts within the slack share a band: bands are twice as wide and overlap
     shift = F.col("at") - F.col("place")
     band = F.floor(shift / F.greatest(F.col("slack"), F.lit(1))).cast("int")
     rows = rows.withColumn("band", F.explode(F.when(F.col("slack") == 0, F.array(band)).otherwise(F.array(band - 1, band))))
-    found = rows.groupBy("doc_id", "mark", "template", "band", "line").agg(
+    found = rows.groupBy("doc_id", "mark", "template", "band").agg(
         F.collect_set(2 * F.col("place") + F.col("pair")).alias("held"),
         F.size(F.collect_set(F.when(F.col("pair") == 0, F.col("at")))).alias("own"),
         F.min("at").alias("start"),
         F.max(F.col("at") + F.col("pair")).alias("end"),
         F.max(F.when(F.col("gram") == number["rights reserved"], F.col("at"))).alias("rights"),
         F.collect_set("gram").alias("grams"),
-        F.array(F.col("line")).alias("lines"),
+        F.array_distinct(F.flatten(F.collect_set(F.array("line", "last")))).alias("lines"),
     )
     keys = F.get(arrays([[2 * j + pair for _, j, pair in x.keys] for x in templates]), F.col("template"))
     foreign = F.col("end") - F.col("start") + 1 - F.col("own")

@@ -241,3 +241,26 @@ def test_licences_every_template(docs):
     got = {r.doc_id: r for r in licences.licences(docs([f"see below. {t} and more of it" for _, t in every])).collect()}
     assert [got[i].families for i in range(len(every))] == [f for f, _ in every]
     assert all(r.n_confirmed == 1 and r.n_unconfirmed == 0 for r in got.values())
+
+
+def test_licences_wrapped_and_joined(docs):
+    mit = """MIT License
+
+Copyright (c) 2020 Somebody
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights"""
+    bsd = """ * Copyright (c) 2020, Somebody. All rights reserved.
+ *
+ * Redistribution and use in source and binary forms, with or without
+ * modification, are permitted provided that the following conditions are met:"""
+    gpl = """# This program is free software; you can redistribute it and/or modify
+# it under the terms of the GNU General Public License as published by
+# the Free Software Foundation; either version {} of the License, or
+# (at your option) any later version."""
+    joined = "Parts are released under the MIT License. Other parts are licensed under the Apache License, Version 2.0."
+    every = [mit, bsd, gpl.format(3), gpl.format(2), joined, mit.replace("\n", "\n\n")]
+    got = {r.doc_id: r for r in licences.licences(docs(every)).collect()}
+    assert [got[i].families for i in range(len(every))] == ["mit", "all-rights-reserved,bsd", "gpl-3.0", "gpl-2.0", "apache-2.0,mit", "mit"]
+    assert [got[i].n_confirmed for i in range(len(every))] == [1, 2, 1, 1, 2, 1]
