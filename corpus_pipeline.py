@@ -4,30 +4,46 @@ Stages, in order: toxicity (documents scored toxic go), exact deduplication (one
 equal texts stays), n-gram Jaccard join (one of each near-duplicate component stays),
 benchmark decontamination (documents that share a window with the benchmark go), BPE
 encoding and decoding (digests of what stays). All but the last return the columns of
-documents, with their rows unchanged. Decisions come
-back to the rows by a null-safe join on the id; rows repeated with one id share them.
+documents, with their rows unchanged. Decisions are by row, so ids may be null or
+repeated: a stage numbers its input's rows (a table or a checkpoint, which is read in the
+same order each time), the operators take these numbers as ids, and they bring the
+decisions back.
 """
 
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronoledger.llm import bpe_codec, decontamination, exact_dedup, signature_join, toxicity
 from chronoledger.llm.common import cut, table
 
 
-#: Rejected ids that may be broadcast (some 50 bytes each); beyond them the join shuffles.
+#: Rejected rows that may be broadcast (some 50 bytes each); beyond them the join shuffles.
 BROADCAST = 500_000
+ROW = "_row_number"
+
+
+def _numbered(docs: DataFrame) -> DataFrame:
+    return docs.withColumn(ROW, F.monotonically_increasing_id())
 
 
 def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
-    """The rows of docs whose id is not among the rejected, with null ids matching null ids."""
-    gone = cut(rejected.select(F.col("doc_id").alias("_rejected_id")).distinct())
+    """The numbered rows of docs whose number is not among the rejected, without it."""
+    gone = cut(rejected.select(F.col("doc_id").alias("_rejected_row")))
     if gone.count() <= BROADCAST:
         gone = F.broadcast(gone)
-    return docs.join(gone, docs["doc_id"].eqNullSafe(F.col("_rejected_id")), "left_anti")
+    return docs.join(gone, docs[ROW] == F.col("_rejected_row"), "left_anti").drop(ROW)
+
+
+def _all_but_best(docs: DataFrame, groups: DataFrame, *first: Column) -> DataFrame:
+    """Row numbers (as doc_id) that go if of each group (doc_id, head: the number of one of its rows) the row that is least by first, then by id (null last), stays."""
+    others = cut(groups.where("doc_id <> head").select("doc_id", "head"))
+    members = others.unionByName(others.select(F.col("head").alias("doc_id"), "head").distinct())
+    ids = docs.select(F.col(ROW), F.struct(*first, F.col("doc_id").isNull(), F.col("doc_id"), F.col(ROW).alias("row")).alias("rank"))
+    best = members.join(ids, members["doc_id"] == ids[ROW]).groupBy("head").agg(F.min("rank")["row"].alias("best"))
+    return members.join(best.select("best"), members["doc_id"] == F.col("best"), "left_anti")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,17 +53,22 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of texts equal but for white space, keeps the row with most code points, then the smallest id."""
-    return _without(docs, exact_dedup.exact_dedup(docs).where("not kept"))
+    docs = _numbered(docs)
+    groups = exact_dedup.exact_dedup(docs, id_col=ROW).select("doc_id", F.col("keep_id").alias("head"))
+    return _without(docs, _all_but_best(docs, groups, -F.char_length(F.coalesce("text", F.lit("")))))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of near copies keeps the document with the smallest id."""
-    return _without(docs, signature_join.near_components(docs).where(~F.col("doc_id").eqNullSafe(F.col("component_id"))))
+    docs = _numbered(docs)
+    groups = signature_join.near_components(docs, id_col=ROW).select("doc_id", F.col("component_id").alias("head"))
+    return _without(docs, _all_but_best(docs, groups))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents with a word inside a window of ten words of a benchmark item."""
-    return _without(docs, decontamination.decontaminate(docs, table(spark, sf_dir, "benchmark")).where("contaminated"))
+    docs = _numbered(docs)
+    return _without(docs, decontamination.decontaminate(docs, table(spark, sf_dir, "benchmark"), id_col=ROW).where("contaminated"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

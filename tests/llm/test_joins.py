@@ -193,3 +193,20 @@ def test_pipeline_against_brute_force(spark):
     assert got == {i: len(library.encode(t, add_special_tokens=False).ids) for i, t in kept.items()}
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs.where(F.col("doc_id") < 5), sf_dir).columns == docs.columns
+
+
+def test_pipeline_decides_by_row(spark, docs):
+    """Null and repeated ids: one row of a group stays, and no other text under its id goes."""
+    import corpus_pipeline
+
+    sf_dir = "/root/testdata/sf0.001"
+    leak = max((r.text for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()), key=len)
+    near = " ".join(f"w{i}" for i in range(60))
+    rows = {
+        corpus_pipeline.drop_exact_copies: ([("a b", None), ("ab", None), ("alone", None), ("same", 5), ("same", 5), ("other", 5), ("x", 9), ("x", 2)], [("a b", None), ("alone", None), ("other", 5), ("same", 5), ("x", 2)]),
+        corpus_pipeline.drop_near_copies: ([(near, None), (near + " end", None), ("clean unique text here now", None), (near, 7), ("quite another text under seven", 7)], [("clean unique text here now", None), (near, 7), ("quite another text under seven", 7)]),
+        corpus_pipeline.drop_contaminated: ([(leak, None), ("clean", None), (leak, 3), ("clean too", 3)], [("clean", None), ("clean too", 3)]),
+    }
+    for stage, (given, kept) in rows.items():
+        got = stage(spark, docs([t for t, _ in given], ids=[i for _, i in given]), sf_dir)
+        assert sorted((r.text, r.doc_id or 0) for r in got.collect()) == sorted((t, i or 0) for t, i in kept), stage
