@@ -9,11 +9,13 @@ are compared word for word with the benchmark's windows. An item of fewer words
 one window; it is sought by its first word and then compared likewise.
 
 The benchmark's fingerprints are broadcast only while their counted number is below
-``broadcast_rows``; beyond that both joins shuffle, and documents with hits are read
-again for their windows. A document's own hits are the most that any task gathers.
+``broadcast_rows``; beyond that both joins shuffle, places travel without the words of
+their document, and documents with hits are read again for their windows. A document's
+own hits are the most that any task gathers.
 
 Null text has no words; null ids group by text; repeated rows each get their row;
-empty documents or an empty benchmark give zero hits; other columns are ignored.
+empty documents or an empty benchmark give zero hits; an empty table gives an empty
+result; other columns are ignored. Time and a task's memory grow with the longest text.
 """
 
 from __future__ import annotations
@@ -28,6 +30,9 @@ WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 BROADCAST_ROWS = 100_000
 
 
+ITSELF, RUN, BEGUN = 0, 1, 2
+
+
 def words_of(text: Column) -> Column:
     return F.regexp_extract_all(ascii_lower(text), F.lit(WORD), F.lit(0))
 
@@ -67,38 +72,50 @@ def hits(documents: DataFrame, benchmark: DataFrame, span: int = 10, k: int = 5,
     full = windows.where(F.col("length") == span).select(F.split("window", " ").alias("words"))
     prints = _with_minima(full, span, k).select(F.get("least", F.lit(0)).alias("print")).distinct()
 
+    short = sorted(n for n in lengths if n < span)
+    if short:
+        first = windows.where(F.col("length") < span).select(F.xxhash64(F.substring_index("window", " ", 1)).alias("print"))
+        prints = prints.unionByName(first).distinct()
+
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     docs = documents.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.xxhash64(text).alias("mark"), words_of(text).alias("words"))
-    docs = _with_minima(docs, span, k).select("doc_id", "mark", "words", "least")
+    docs = _with_minima(docs, span, k)
     turns = F.filter(_positions(F.size("least")), lambda i: (i == 0) | (F.get(F.col("least"), i) != F.get(F.col("least"), i - 1)))
-    docs = docs.withColumn("turns", turns)
-    runs = F.transform(_positions(F.size("turns")), lambda j: F.struct(F.get(F.col("least"), F.get(F.col("turns"), j)).alias("print"), F.get(F.col("turns"), j).alias("at"), (F.coalesce(F.get(F.col("turns"), j + 1), F.size("least")) - F.get(F.col("turns"), j)).alias("n")))
+    docs = docs.select("doc_id", "mark", "words", "hashes", "least", turns.alias("turns"))
+
+    def place(kind: int, print_: Column, at: Column, n: Column) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), print_.cast("long").alias("print"), at.cast("int").alias("at"), n.cast("int").alias("n"))
+
+    # what is sought of a document: itself (its own row, which passes every filter), the runs of windows with one
+    # fingerprint, and with short items every word, which may begin one
+    itself = F.array(place(ITSELF, F.lit(None), F.lit(-1), F.size("words")))
+    runs = F.transform(_positions(F.size("turns")), lambda j: place(RUN, F.get(F.col("least"), F.get(F.col("turns"), j)), F.get(F.col("turns"), j), F.coalesce(F.get(F.col("turns"), j + 1), F.size("least")) - F.get(F.col("turns"), j)))
+    begun = [F.transform("hashes", lambda h, i: place(BEGUN, h, i, F.lit(0)))] if short else []
+    docs = docs.select("doc_id", "mark", "words", F.concat(itself, runs, *begun).alias("sought"))
     # The outer generators keep every row too, but Spark infers no filter from them: pushed down to the scan,
     # such a filter would hold all these arrays' definitions, evaluated anew for every element.
-    # one more element stands for the document itself and passes every filter
-    itself = F.array(F.struct(F.lit(None).cast("long").alias("print"), F.lit(-1).alias("at"), F.size("words").alias("n")))
-    docs = docs.select("doc_id", "mark", "words", F.concat(itself, runs).alias("runs"))
     key = ["doc_id", "mark"]
-    part = F.when(F.col("at") >= 0, F.slice("words", F.col("at") + 1, F.col("n") + span - 1))
     if small:
-        found = docs.select(*key, "words", F.inline_outer("runs")).join(near(prints.withColumn("known", F.lit(True))), "print", "left").where("known or at < 0").select(*key, "at", "n", part.alias("words"))
+        found = docs.select(*key, "words", F.inline_outer("sought")).join(near(prints.withColumn("known", F.lit(True))), "print", "left").where((F.col("kind") == ITSELF) | F.col("known"))
     else:
-        every = docs.select(*key, F.inline_outer("runs"))
-        itself_rows = every.where("at < 0").select(*key, "at", "n", F.lit(None).cast("array<string>").alias("words"))
-        matched = every.where("at >= 0").join(prints, "print", "left_semi").groupBy(*key).agg(F.collect_set(F.struct("at", "n")).alias("runs"))
+        # places travel without their document's words; documents with hits are read again for these
+        every = docs.select(*key, F.inline_outer("sought"))
+        own = every.where(F.col("kind") == ITSELF).withColumn("words", F.lit(None).cast("array<string>"))
+        matched = every.where(F.col("kind") != ITSELF).join(prints, "print", "left_semi").groupBy(*key).agg(F.collect_set(F.struct("kind", "at", "n")).alias("places"))
         again = docs.select(*key, "words").alias("d").join(matched.alias("m"), [F.col(f"d.{c}").eqNullSafe(F.col(f"m.{c}")) for c in key])
-        found = itself_rows.unionByName(again.select("d.doc_id", "d.mark", "words", F.inline_outer("runs")).select(*key, "at", "n", part.alias("words")))
-    # every run becomes its windows; the document's own row bears one that no benchmark has, so that these rows spread too
-    offset = F.explode_outer(F.when(F.col("at") < 0, F.array(F.lit(0))).otherwise(_positions(F.col("n"))))
-    found = found.withColumn("offset", offset).select(*key, F.when(F.col("at") < 0, F.col("n")).alias("n_words"), (F.col("at") + F.col("offset")).alias("at"), F.when(F.col("at") >= 0, _windows(F.col("words"), F.col("offset"), span)).otherwise(F.concat(F.lit(" "), F.col("mark").cast("string"))).alias("window"))
-    short = sorted(n for n in lengths if n < span)
+        found = own.select(*key, "words", "kind", "at", "n").unionByName(again.select("d.doc_id", "d.mark", "words", F.inline_outer("places")))
+    reach = F.when(F.col("kind") == RUN, F.col("n") + span - 1).when(F.col("kind") == BEGUN, F.lit(span - 1))
+    found = found.select(*key, "kind", "at", "n", F.when(reach.isNotNull(), F.slice("words", F.col("at") + 1, reach)).alias("words"))
+
+    # every place becomes its windows; the document's own row bears one that no benchmark has, so that these rows spread too
+    def window(at: Column, said: Column) -> Column:
+        return F.struct(at.alias("at"), said.alias("window"))
+
+    of_run = F.transform(_positions(F.col("n")), lambda o: window(F.col("at") + o, _windows(F.col("words"), o, span)))
+    tried = F.when(F.col("kind") == ITSELF, F.array(window(F.col("at"), F.concat(F.lit(" "), F.col("mark").cast("string"))))).when(F.col("kind") == RUN, of_run)
     if short:
-        # words of documents that begin a short item, with as many words as the longest needs
-        first = windows.where(F.col("length") < span).select(F.substring_index("window", " ", 1).alias("word")).distinct()
-        begun = docs.select(*key, "words", F.posexplode_outer("words").alias("at", "word")).join(near(first), "word", "left_semi")
-        tried = F.array(*(F.when(F.size("words") - F.col("at") >= n, _windows(F.col("words"), F.col("at"), n)) for n in short))
-        begun = begun.withColumn("window", F.explode_outer(tried)).where("window is not null")
-        found = found.unionByName(begun.select(*key, F.lit(None).cast("int").alias("n_words"), "at", "window"))
+        tried = tried.otherwise(F.filter(F.array(*(window(F.col("at"), F.when(F.size("words") >= n, _windows(F.col("words"), F.lit(0), n))) for n in short)), lambda w: w["window"].isNotNull()))
+    found = found.select(*key, F.when(F.col("kind") == ITSELF, F.col("n")).alias("n_words"), F.inline_outer(tried))
     found = found.join(near(windows), "window", "left").where("items is not null or n_words is not null")
     span_of = F.when(F.col("items").isNotNull(), F.struct(F.col("at").alias("start"), (F.col("at") + F.col("length")).alias("end")))
     return found.groupBy(*key).agg(

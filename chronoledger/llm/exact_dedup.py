@@ -5,8 +5,8 @@ that the exchange carries each distinct text at most once a partition. Behind th
 exchange on the content's digest, a partition fills another table that compares
 complete contents; when the table outgrows its budget, it and the records to come
 go to spill files by further bits of the hash, and each file is treated likewise.
-Spill files live in the task's own temporary folder and end with the task: a lost
-executor only means that the task runs again. The group's decision then returns
+Spill files live in a folder of the task's own, under Spark's local folders, and end with
+the task: a lost executor only means that the task runs again. The group's decision then returns
 to all its rows by a join on the digest, whose hot keys Spark can split.
 
 Texts are equal when identical after deleting the characters 0x20 and 0x09-0x0D.
@@ -20,6 +20,7 @@ are ignored.
 from __future__ import annotations
 
 import hashlib
+import os
 import pickle
 import tempfile
 from collections.abc import Iterable, Iterator
@@ -118,6 +119,12 @@ class Spill:
                 return
 
 
+def spill_root() -> str | None:
+    """One of the folders that Spark gives a worker for its spills; None (the system's choice) only outside of Spark."""
+    folders = [f for f in os.environ.get("SPARK_LOCAL_DIRS", "").split(",") if f]
+    return folders[os.getpid() % len(folders)] if folders else None
+
+
 def grace(records: Iterable[Record], folder: str, budget: int = BUDGET, level: int = 0) -> Iterator[list]:
     """One entry [digest, content, code points, id, rows] for each distinct content."""
     table, spill = OpenTable(), None
@@ -182,7 +189,7 @@ def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         yield from _batches(table.entries, True)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        with tempfile.TemporaryDirectory() as folder:
+        with tempfile.TemporaryDirectory(dir=spill_root()) as folder:
             yield from _batches(grace(_records(batches), folder, budget), False)
 
     text = F.col("text").cast("binary")

@@ -6,8 +6,9 @@ mark before it, then one end. Its probability is the sum over all segmentations;
 since no piece crosses a word mark, it is the product of the words' sums, and each
 word's sum comes from a forward recursion in log space over its lattice.
 
-The piece probabilities start from the vocabulary's own scores (its ranks, read as a
-Zipf law) and are fitted to the training words by expectation-maximisation over the
+The piece probabilities start from the vocabulary's own scores. A vocabulary with log
+probabilities would give them as they are; the one at hand is of merges and scores its
+pieces by rank, which are read as a Zipf law. They are fitted to the training words by expectation-maximisation over the
 table of distinct words with their counts. That table is counted over all training
 texts; it is kept in the shared checkpoint folder, since several steps read it.
 
@@ -17,7 +18,8 @@ Counts go back to the texts in two exact ways: words of high count, at most
 Null text counts as empty (its only token is the end); a null id is scored but its
 remainder is that of the empty string; repeated rows each get their row; without
 training texts N and V are 0 and the pieces keep their first probabilities; an empty
-table gives an empty result; other columns are ignored.
+table gives an empty result; other columns are ignored. Time grows with a text's length;
+a long word takes some microseconds and 20 bytes of memory for each of its bytes.
 """
 
 from __future__ import annotations
@@ -38,6 +40,8 @@ from .words import byte_slices, mix
 MARK = "▁".encode()
 #: Most words whose counts are broadcast, words that a worker counts before it hands them on, and other words whose sums it remembers.
 FREQUENT, HELD_WORDS, MEMORY = 150_000, 250_000, 150_000
+#: Bytes from which a word's recursion goes along stretches of its edges, and starts in a stretch.
+LONG_WORD, STRETCH = 2000, 20_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 
@@ -110,10 +114,64 @@ class Lattice:
             beta[:, t] = self._sum([beta[:, t + k] + w[:, t] for (k, _), w in zip(edges, weights, strict=True) if k <= size - t])
         return beta
 
+    def stretches(self, data: bytes, backward: bool = False) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+        """Edges of one long marked word: of every stretch of starts its bounds and, by start, start, length and piece."""
+        n, longest = len(data), max([1, *self.lengths])
+        starts = range(0, n, STRETCH)
+        for s in reversed(starts) if backward else starts:
+            e = min(s + STRETCH, n)
+            block = np.frombuffer(data[s : e + longest - 1], dtype=np.uint8)[None]
+            found = [(at := np.flatnonzero(ids[0, : e - s] != self.none), np.full(len(at), k), ids[0, at]) for k, ids in self.edges(block)]
+            at, k, piece = (np.concatenate([f[i] for f in found]) for i in range(3))
+            order = np.argsort(at, kind="stable")
+            yield s, e, at[order] + s, k[order], piece[order]
+
+    def forward_long(self, data: bytes, log_p: np.ndarray) -> np.ndarray:
+        """The forward recursion over one long word, with memory for a stretch of edges besides its result."""
+        ring = max([1, *self.lengths]) + 1
+        waiting: list[list[float]] = [[] for _ in range(ring)]
+        waiting[0].append(0.0)
+        alpha = np.zeros(len(data) + 1)
+
+        def summed(t: int) -> float:
+            terms, waiting[t % ring] = waiting[t % ring], []
+            top = max(terms)
+            return top + math.log(sum(math.exp(x - top) for x in terms))
+
+        for s, e, at, k, piece in self.stretches(data):
+            edges = iter(zip(at.tolist(), k.tolist(), log_p[piece].tolist(), strict=True))
+            edge = next(edges, None)
+            out = []
+            for t in range(s, e):
+                a = summed(t)
+                out.append(a)
+                while edge is not None and edge[0] == t:
+                    waiting[(t + edge[1]) % ring].append(a + edge[2])
+                    edge = next(edges, None)
+            alpha[s:e] = out
+        alpha[-1] = summed(len(data))
+        return alpha
+
+    def expected_long(self, data: bytes, count: float, log_p: np.ndarray, out: np.ndarray) -> None:
+        """Adds the expected uses of pieces in one long word, seen ``count`` times."""
+        alpha, beta = self.forward_long(data, log_p), np.zeros(len(data) + 1)
+        scale = math.log(count) - alpha[-1]
+        for s, e, at, k, piece in self.stretches(data, backward=True):
+            w = log_p[piece]
+            edges = np.searchsorted(at, np.arange(s, e + 1)).tolist()
+            ends, weights, near = (at + k - s).tolist(), w.tolist(), beta[s : e + max([1, *self.lengths])].tolist()
+            for t in range(e - s - 1, -1, -1):
+                terms = [weights[i] + near[ends[i]] for i in range(edges[t], edges[t + 1])]
+                top = max(terms)
+                near[t] = top + math.log(sum(math.exp(x - top) for x in terms))
+            beta[s:e] = near[: e - s]
+            out += np.bincount(piece, weights=np.exp(alpha[at] + w + beta[at + k] + scale), minlength=len(out))
+
     def blocks(self, words: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Equally long marked words, as (ordinals, bytes)."""
+        """Equally long marked words of no more than LONG_WORD bytes, as (ordinals, bytes)."""
         lengths = np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + len(MARK)
         order = np.argsort(lengths, kind="stable")
+        order = order[lengths[order] <= LONG_WORD]
         cuts = np.flatnonzero(np.diff(lengths[order])) + 1
         for group in np.split(order, cuts) if len(order) else []:
             size = int(lengths[group[0]])
@@ -126,8 +184,14 @@ class Lattice:
         for part, block in self.blocks(words):
             edges = self.edges(block)
             out[part] = self.forward(edges, [log_p[ids] for _, ids in edges], block.shape[1])[:, -1]
+        for i in self.long(words):
+            out[i] = self.forward_long(MARK + words[i], log_p)[-1]
         return out
 
+    @staticmethod
+    def long(words: list[bytes]) -> list[int]:
+        return [i for i, w in enumerate(words) if len(w) + len(MARK) > LONG_WORD]
+
     def expected(self, words: list[bytes], counts: np.ndarray, log_p: np.ndarray) -> np.ndarray:
         """Expected number of uses of each piece."""
         out = np.zeros(self.none + 1)
@@ -139,6 +203,8 @@ class Lattice:
             for (k, ids), w in zip(edges, weights, strict=True):
                 use = np.exp(alpha[:, : size - k + 1] + w + beta[:, k:] + scale[:, None])
                 out += np.bincount(ids.ravel(), weights=use.ravel(), minlength=self.none + 1)
+        for i in self.long(words):
+            self.expected_long(MARK + words[i], float(counts[i]), log_p, out)
         out[self.none] = 0
         return out
 

@@ -8,12 +8,15 @@ A text gets its expected grade and the probability of a grade of at least
 Features of a text: its words, the shapes of its white-space words (letter case,
 ending, length) and coarse statistics of the whole (share of distinct words, of
 capitals, of symbols), hashed into one table. Learned
-from a bounded sample of rated rows (``max_rows``, ``max_words``, in the order of a
-hash of their id); every whole text is scored in one pass.
+from a bounded sample of rated rows (``max_rows``, ``max_words``, see
+``common.sample_rows``; of an id's several ratings the lowest counts); every whole text
+is scored in one pass.
 
 Null and empty texts have only the statistics' features. A null id stays null and
 is never learned from; repeated rows each get their row; without ratings of two
-grades all texts get the mean grade (0 without ratings); other columns are ignored.
+grades all texts get the mean grade (0 without ratings); an empty table gives an empty
+result; other columns are ignored. Time grows with a text's length, memory with the
+longest text (some 100 bytes a byte).
 """
 
 from __future__ import annotations
@@ -25,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, id_and_text, map_arrow
+from .common import held_out, id_and_text, map_arrow, sample_rows
 from .words import ALNUM, NOT_SPACE, byte_class, byte_slices, find_words, mix
 
 #: Bounds of what is learned from: rated rows, and words in all; a text of over a tenth of these words is not learned from.
@@ -151,20 +154,13 @@ def train(df: DataFrame, ratings: DataFrame, grade: Column, grades: int, id_col:
     chosen = rated.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
 
     def row(batch: pa.RecordBatch):
-        features, values = [], []
-        for t in batch.column(1).to_pylist():
-            short = t.count(b" ") <= max_words // 10
-            _, feature, value = vectors([t]) if short else (0, np.zeros(0), np.zeros(0))
-            features.append(feature.astype(np.int32).tobytes())
-            values.append(value.astype(np.float32).tobytes())
+        found = [vectors([t])[1:] for t in batch.column(1).to_pylist()]
+        features, values = ([x.astype(t).tobytes() for x in column] for column, t in zip(zip(*found, strict=True), (np.int32, np.float32), strict=True)) if found else ([], [])
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(features, pa.binary()), pa.array(values, pa.binary())], names=["doc_id", "grade", "features", "scaled"])
 
-    rows = id_and_text(df, id_col, text_col, "binary").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "grade")
-    table, size = [], 0
-    for r in sorted(map_arrow(rows, row, "doc_id long, grade int, features binary, scaled binary").collect(), key=lambda r: (r.doc_id * 0x9E3779B97F4A7C15 & (1 << 64) - 1, bytes(r.features))):
-        size += len(r.features) // 4
-        if r.features and size <= max_words and len(table) < max_rows:
-            table.append((r.grade, np.frombuffer(bytes(r.features), dtype=np.int32), np.frombuffer(bytes(r.scaled), dtype=np.float32)))
+    rows = sample_rows(id_and_text(df, id_col, text_col, "binary"), chosen, "grade", max_words, ALNUM)
+    found = map_arrow(rows, row, "doc_id long, grade int, features binary, scaled binary").collect()  # max_rows rows of max_words words in all, at most
+    table = [(r["grade"], np.frombuffer(bytes(r["features"]), dtype=np.int32), np.frombuffer(bytes(r["scaled"]), dtype=np.float32)) for r in sorted(found, key=lambda r: r["doc_id"])]
     return fit(table, grades)
 
 

@@ -19,7 +19,9 @@ components. No link between components is lost:
    one cluster at most, and linked sets are in the same one. Clusters are searched by the
    same trees, now with the whole sets compared exactly.
 5. A block or cluster of over ``most`` sets is dealt into chunks: chunks are searched alone,
-   then one set for each component, and only if two components are left, pairs of chunks.
+   then one set for each component, and only if two components are left, pairs of chunks:
+   those whose ranges of sizes allow a link, and not two of the largest component. For m
+   sets outside of it among n, each set meets about m / ``most`` chunks.
 
 Null and empty texts have no set and link with nothing: each is its own component. A
 null id takes part, but is nobody's component_id unless all ids of a component are
@@ -29,6 +31,7 @@ columns are ignored.
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -45,6 +48,8 @@ N, LEAST, CELL_BITS, MOST, BROADCAST = 5, 75, 24, 2048, 500_000
 SLICES = 64
 #: Links that a task of the component search takes up; rows of a gram from which they are dealt over several tasks.
 EDGES, DEALT = 200_000, 4_000_000
+#: Sets that a task remembers to have handed on.
+REMEMBERED = 200_000
 _FACTORS = mix(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1)
 
 
@@ -218,13 +223,13 @@ def _signatures(df: DataFrame, n: int, seed: int) -> DataFrame:
     """Rows of texts (doc_id, mark, size, id, check, bits) and of sketch slices (slice, counts), in one pass."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells = np.zeros(1 << CELL_BITS, dtype=np.uint8)
+        cells = np.zeros(1 << CELL_BITS, dtype=np.uint32)
         for batch in pieces(batches):
             ids, texts, marks = (batch.column(i).to_pylist() for i in range(3))
             for i, j in byte_slices(texts):
                 sets = sets_of(texts[i:j], n, seed)
                 hit, times = np.unique(_cells(np.concatenate(sets)), return_counts=True)
-                cells[hit] = np.minimum(cells[hit].astype(np.int64) + times, 255)
+                cells[hit] += times.astype(np.uint32)
                 keys = [set_id(s) if len(s) else (None, None) for s in sets]
                 yield _batch({"doc_id": (ids[i:j], pa.int64()), "mark": (marks[i:j], pa.int64()), "size": ([len(s) for s in sets], pa.int64()), "id": ([k[0] for k in keys], pa.int64()), "check": ([k[1] for k in keys], pa.int64()), "bits": ([bitmap(s).tobytes() if len(s) else None for s in sets], pa.binary()), "slice": ([None] * (j - i), pa.int32()), "counts": ([None] * (j - i), pa.binary())})
         part = len(cells) // SLICES
@@ -244,13 +249,13 @@ def _crowding(signatures: DataFrame) -> tuple[np.ndarray, int]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for k, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                sums[k] = sums.get(k, 0) + np.frombuffer(zlib.decompress(c), dtype=np.uint8).astype(np.uint32)
+                sums[k] = sums.get(k, 0) + np.frombuffer(zlib.decompress(c), dtype=np.uint32).astype(np.uint64)
         yield _batch({"slice": (list(sums), pa.int32()), "counts": ([zlib.compress(s, 1) for s in sums.values()], pa.binary())})
 
     slices = signatures.where("slice is not null").select("slice", "counts").repartition(SLICES, "slice").mapInArrow(add, "slice int, counts binary")
-    total = np.zeros((SLICES, (1 << CELL_BITS) // SLICES), dtype=np.uint32)
+    total = np.zeros((SLICES, (1 << CELL_BITS) // SLICES), dtype=np.uint64)
     for r in slices.toLocalIterator():  # a fixed number of cells, whatever the input
-        total[r["slice"]] += np.frombuffer(zlib.decompress(bytes(r["counts"])), dtype=np.uint32)
+        total[r["slice"]] += np.frombuffer(zlib.decompress(bytes(r["counts"])), dtype=np.uint64)
     mean = total.mean(dtype=np.float64)
     chance = max(mean + 3 * np.sqrt(mean), 2)
     out = np.empty(total.shape, dtype=np.uint8)
@@ -282,6 +287,8 @@ def _candidates(df: DataFrame, crowding: np.ndarray, dealt_from: int, n: int, se
                 for s in sets_of(texts[i:j], n, seed):
                     if not len(s) or (key := set_id(s)) in seen:
                         continue
+                    if len(seen) >= REMEMBERED:  # copies that this lets through fall together behind the exchange
+                        seen.clear()
                     seen.add(key)
                     crowd = crowding[_cells(s)]
                     order = np.lexsort((s, crowd))[: len(s) - (percent * len(s) + 99) // 100 + 1]
@@ -293,13 +300,26 @@ def _candidates(df: DataFrame, crowding: np.ndarray, dealt_from: int, n: int, se
                     yield _batch({"gram": (np.concatenate(grams).view(np.int64), pa.int64()), "tag": (np.concatenate(tags), pa.int32()), "id": (np.concatenate(ids), pa.int64()), "size": (np.concatenate(sizes), pa.int32())})
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [[c.to_numpy() for c in b.columns] for b in batches]
-        if not got:
-            return
-        gram, tag, key, size = (np.concatenate([g[i] for g in got]) for i in range(4))
-        del got
-        order = np.lexsort((key, size, tag, gram))
-        gram, tag, key, size = gram[order], tag[order], key[order], size[order].astype(np.int64)
+        """Of rows in the order of gram, tag, size and id. Whole grams are taken up, a batch of rows or one gram at a time."""
+        held: list[list[np.ndarray]] = []
+        for batch in batches:
+            got = [c.to_numpy() for c in batch.columns]
+            edges = np.flatnonzero((got[0][1:] != got[0][:-1]) | (got[1][1:] != got[1][:-1]))
+            cut_at = int(edges[-1]) + 1 if len(edges) else 0
+            if held and not cut_at and (held[-1][0][-1], held[-1][1][-1]) != (got[0][0], got[1][0]):
+                yield found_in(held)
+                held = []
+            elif cut_at:
+                yield found_in([*held, [g[:cut_at] for g in got]])
+                held = []
+            held.append([g[cut_at:] for g in got])
+        if held:
+            yield found_in(held)
+        give_back()
+
+    def found_in(parts: list[list[np.ndarray]]) -> pa.RecordBatch:
+        gram, tag, key, size = (np.concatenate([g[i] for g in parts]) for i in range(4))
+        size = size.astype(np.int64)
         fresh = np.r_[True, (gram[1:] != gram[:-1]) | (key[1:] != key[:-1])]
         gram, tag, key, size = gram[fresh], tag[fresh], key[fresh], size[fresh]
         dealt = tag % (1 << 20) > 0
@@ -312,16 +332,10 @@ def _candidates(df: DataFrame, crowding: np.ndarray, dealt_from: int, n: int, se
         name = np.where(dealt[start], mix(gram[start].view(np.uint64)) >> np.uint64(1), name)
         kept = np.repeat((members > 1) | dealt[start], members)
         name = np.repeat(name, members)[kept].view(np.int64)
-        key = key[kept]
-        order = np.lexsort((key, name))
-        name, key = name[order], key[order]
-        fresh = np.r_[True, (name[1:] != name[:-1]) | (key[1:] != key[:-1])] if len(name) else np.zeros(0, dtype=bool)
-        yield _batch({"block": (name[fresh], pa.int64()), "id": (key[fresh], pa.int64())})
-        del gram, tag, key, size, order, fresh, name
-        give_back()
+        return _batch({"block": (name, pa.int64()), "id": (key[kept], pa.int64())})
 
     rows = df.select("text").mapInArrow(prefixes, "gram long, tag int, id long, size int")
-    found = rows.repartition("gram", "tag").mapInArrow(blocks, "block long, id long")
+    found = rows.repartition("gram", "tag").sortWithinPartitions("gram", "tag", "size", "id").mapInArrow(blocks, "block long, id long")
     return found.distinct()
 
 
@@ -345,7 +359,28 @@ def _grouped(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[lis
     give_back()
 
 
-def _join(blocks: DataFrame, payload: DataFrame, percent: int, most: int, exact: bool) -> DataFrame:
+def _paired(now: DataFrame, sizes: DataFrame, percent: int, most: int) -> DataFrame:
+    """Deal the sets of blocks that still hold several components to pairs of cells: (block, low, high, id, component).
+
+    A cell holds about ``most`` sets of one range of sizes, all of the block's largest component or none. Sets of
+    ranges that do not touch cannot link, and those of the largest component need not meet each other.
+    """
+    now = now.join(sizes.select("id", "size"), "id")
+    per = now.groupBy("block", "component").agg(F.count("*").alias("n"))
+    largest = per.groupBy("block").agg(F.max_by("component", F.struct("n", "component")).alias("largest"), F.count("*").alias("components")).where("components > 1")
+    span = F.floor(F.log("size") / math.log(100 / percent) + 1e-9).cast("int").alias("span")
+    now = now.join(largest, "block").select("block", "id", "component", (F.col("component") == F.col("largest")).alias("within"), span)
+    cells = now.groupBy("block", "within", "span").agg(F.ceil(F.count("*") / most).cast("int").alias("chunks"))
+    lists = cells.groupBy("block").agg(F.collect_list(F.struct("within", "span", "chunks")).alias("cells"))
+    now = now.join(cells, ["block", "within", "span"])
+    own = F.struct("within", "span", F.pmod(F.xxhash64("id"), F.col("chunks").cast("long")).cast("int").alias("chunk"))
+    near = F.filter("cells", lambda c: (F.abs(c["span"] - F.col("span")) <= 1) & ~(c["within"] & F.col("within")))
+    partners = F.flatten(F.transform(near, lambda c: F.transform(F.sequence(F.lit(0), c["chunks"] - 1), lambda k: F.struct(c["within"].alias("within"), c["span"].alias("span"), k.alias("chunk")))))
+    now = now.join(lists, "block").select("block", "id", "component", own.alias("own"), F.explode(partners).alias("other"))
+    return now.select("block", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "id", "component")
+
+
+def _join(blocks: DataFrame, payload: DataFrame, sizes: DataFrame, percent: int, most: int, exact: bool) -> DataFrame:
     """Pairs (a, b) that connect, over all blocks (block, id), what joins_within connects in each."""
     cell = ["block", "low", "high"]
 
@@ -358,12 +393,15 @@ def _join(blocks: DataFrame, payload: DataFrame, percent: int, most: int, exact:
             if pairs:
                 yield _batch({"a": ([ids[i] for i, _ in pairs], pa.int64()), "b": ([ids[j] for _, j in pairs], pa.int64())})
 
+    def searched(now: DataFrame) -> DataFrame:
+        rows = now.join(payload, "id").select(*(F.xxhash64(c).alias(c) if turn == "pairs" and c != "block" else F.col(c) for c in cell), "id", "component", *payload.columns[1:])
+        return rows.repartition(*cell).sortWithinPartitions(*cell).mapInArrow(search, "a long, b long").distinct()
+
+    turn = "alone"
     counts = blocks.groupBy("block").agg(F.count("*").alias("members"))
     large = cut(counts.where(F.col("members") > most))
     if large.isEmpty():
-        dealt = blocks.select(F.col("block"), F.lit(0).alias("low"), F.lit(0).alias("high"), "id", F.col("id").alias("component"))
-        rows = dealt.join(payload, "id").select(*cell, "id", "component", *payload.columns[1:]).repartition(*cell).sortWithinPartitions(*cell)
-        return cut(rows.mapInArrow(search, "a long, b long").distinct())
+        return cut(searched(blocks.select("block", F.lit(0).alias("low"), F.lit(0).alias("high"), "id", F.col("id").alias("component"))))
     pairs, labels = None, None
     for turn in ("alone", "heads", "pairs"):
         now = blocks.join(large if turn != "alone" else counts, "block")
@@ -373,15 +411,12 @@ def _join(blocks: DataFrame, payload: DataFrame, percent: int, most: int, exact:
             now = now.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
         if turn == "heads":
             now = now.groupBy("block", "component").agg(F.min("id").alias("id"), F.max("members").alias("members"))
-        elif turn == "pairs":
-            mixed = now.groupBy("block").agg(F.min("component").alias("least"), F.max("component").alias("greatest")).where("least < greatest").select("block")
-            now = now.join(mixed, "block", "left_semi")
-        chunks = F.ceil(F.col("members") / most).cast("int")
-        now = now.withColumn("chunks", chunks).withColumn("own", F.pmod(F.xxhash64("id"), chunks.cast("long")).cast("int"))
-        other = F.explode_outer(F.sequence(F.lit(0), F.col("chunks") - 1)) if turn == "pairs" else F.col("own")
-        now = now.withColumn("other", other).select("block", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "id", "component")
-        rows = now.join(payload, "id").select(*cell, "id", "component", *payload.columns[1:]).repartition(*cell).sortWithinPartitions(*cell)
-        found = rows.mapInArrow(search, "a long, b long").distinct()
+        if turn == "pairs":
+            now = _paired(now, sizes, percent, most)
+        else:
+            chunk = F.pmod(F.xxhash64("id"), F.ceil(F.col("members") / most).cast("long")).cast("int")
+            now = now.select("block", chunk.alias("low"), chunk.alias("high"), "id", "component")
+        found = searched(now)
         pairs = cut(found if pairs is None else pairs.unionByName(found))
         labels = components_of(pairs)
     return pairs
@@ -437,10 +472,10 @@ def near_components(df: DataFrame, n: int = N, percent: int = LEAST, most: int =
             break
         seed += 1
     blocks = cut(_candidates(docs, *_crowding(signatures), n, seed, percent))
-    clusters = components_of(_join(blocks, sizes.select("id", "size", "bits"), percent, most, exact=False))
+    clusters = components_of(_join(blocks, sizes.select("id", "size", "bits"), sizes, percent, most, exact=False))
     clusters = clusters.select(F.col("component").alias("block"), "id")
     wanted = cut(clusters.select("id").join(sizes.select("id", "mark"), "id"))
-    labels = components_of(_join(clusters, _whole_sets(docs, wanted, n, seed), percent, most, exact=True))
+    labels = components_of(_join(clusters, _whole_sets(docs, wanted, n, seed), sizes, percent, most, exact=True))
     grouped = sizes.select("id", "first_id").join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
     least = grouped.groupBy("component").agg(F.min("first_id").alias("component_id"))
     owner = grouped.join(least, "component").select("id", "component_id")

@@ -9,6 +9,8 @@ symbols are counted. A character outside the vocabulary counts its UTF-8 bytes
 
 Null text counts as empty (0 tokens); a null id stays null; repeated rows each
 get their row; an empty table gives an empty result; other columns are ignored.
+Time grows with a text's length, unbroken or not, and a worker's memory with the
+longest text (some 60 bytes a character of its longest pre-token).
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import id_and_text, map_arrow, text_slices
-from .merges import MergeTable
+from .merges import LONG, MergeTable
 
 SPACE = "▁"
 #: Pre-tokens that a worker remembers with their counts; past that it starts anew. Results don't depend on it.
@@ -43,7 +45,10 @@ class PieceCounter:
         ranks = {s: r for r, s in enumerate(sorted(set(pieces.values())))}
         chars = sorted({c for p in pieces for c in p})
         self.symbol = {s: i for i, s in enumerate([*chars, *sorted(p for p in pieces if len(p) > 1)])}
-        self.char_id = {c: self.symbol[c] for c in chars}
+        #: By code point: the character's symbol, or minus its bytes in UTF-8 where it is in no piece.
+        points = np.arange(0x110000)
+        self.of_point = -(1 + (points > 0x7F).astype(np.int32) + (points > 0x7FF) + (points > 0xFFFF))
+        self.of_point[[ord(c) for c in chars]] = [self.symbol[c] for c in chars]
         #: What a symbol counts that survives: 1, or its bytes if it is only a part of pieces.
         self.cost = np.array([1 if s in pieces else len(s.encode()) for s in self.symbol], dtype=np.int64)
         pairs = [(self.symbol[a], self.symbol[b], ranks[score], self.symbol[p]) for p, score in pieces.items() for i in range(1, len(p)) if (a := p[:i]) in self.symbol and (b := p[i:]) in self.symbol]
@@ -61,8 +66,7 @@ class PieceCounter:
 
     def count_new(self, words: list[str]) -> np.ndarray:
         """Tokens of each pre-token."""
-        get = self.char_id.get
-        symbols = np.fromiter((get(c, -len(c.encode("utf-8", "surrogatepass"))) for w in words for c in w), dtype=np.int64)
+        symbols = self.of_point[np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), dtype="<u4")]
         sequence = np.repeat(np.arange(len(words)), np.fromiter(map(len, words), dtype=np.int64, count=len(words)))
         symbols, sequence = self.table.merge(symbols, sequence)
         cost = np.where(symbols < 0, -symbols, self.cost[np.maximum(symbols, 0)])
@@ -79,6 +83,9 @@ class PieceCounter:
             self.known.update(zip(new, self.count_new(new).tolist(), strict=True))
             get = self.known.__getitem__
             out += [sum(map(get, words)) for words in cut]
+            for w in new:
+                if len(w) > LONG:
+                    del self.known[w]
         return out
 
 

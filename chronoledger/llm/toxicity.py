@@ -1,16 +1,18 @@
 """Operator 3: toxicity by multiple-instance learning.
 
 A document is a bag of sentences. A sentence's probability is logistic in the set
-of its words and word beginnings (stems); the document's is their noisy-or, 1 - prod(1 - p). Weights are trained
-from document labels alone, through the noisy-or, by full-batch Adam on a bounded
-sample of labelled rows (``max_rows`` and ``max_words``, in the order of a hash of
-their id). Every whole text is then scored in one pass, and the trained sentence
+of its words and word beginnings (stems); the document's is their noisy-or,
+1 - prod(1 - p). Weights are trained from document labels alone, through the noisy-or, by full-batch Adam on a bounded
+sample of labelled rows (``max_rows`` and ``max_words``, see ``common.sample_rows``; an id
+with several labels counts as toxic if one says so). Every whole text is then scored in one pass, and the trained sentence
 scores locate the offending sentences.
 
 Inputs of a score are the words of the text, nothing else. Null and empty texts
 have no sentence and score 0. A null id stays null and is never learned from;
 repeated rows each get their row; without labels of both kinds every score is the
-share of positive labels (0 without labels); other columns are ignored.
+share of positive labels (0 without labels); an empty table gives an empty result;
+other columns are ignored. Time grows with a text's length, memory with the longest
+text (some 60 bytes a byte).
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, id_and_text, map_arrow
+from .common import held_out, id_and_text, map_arrow, sample_rows
 from .words import ALNUM, SENTENCE_END, Words, byte_slices, find_words, fold32
 
 #: Bounds of what is learned from: labelled rows, and words in all; a text of over a tenth of these words is not learned from.
@@ -120,11 +122,12 @@ def fit(bags: list[tuple[int, bytes, bytes]], rounds: int = 2000, rate: float =
         return (in_bags >= least) & (in_positive > SCREEN * labels.mean() * in_bags)
 
     # a first screening over hashed counts keeps the memory of the rest small; few features pass it
-    in_bags, in_positive = np.zeros(1 << 24, dtype=np.uint16), np.zeros(1 << 24, dtype=np.uint16)
+    narrow = np.uint16 if total < 1 << 16 else np.uint32
+    in_bags, in_positive = np.zeros(1 << 24, dtype=narrow), np.zeros(1 << 24, dtype=narrow)
     for y, f, _ in bags:
         hit = np.unique(np.frombuffer(f, dtype=np.uint32) >> np.uint32(8))
         in_bags[hit] += 1
-        in_positive[hit] += np.uint16(y)
+        in_positive[hit] += narrow(y)
     passed = screened(in_bags, in_positive)
     del in_bags, in_positive
     columns, keys, every = [], [], []
@@ -167,22 +170,17 @@ def train(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     chosen = marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
 
     def bag(batch: pa.RecordBatch):
-        texts = batch.column(1).to_pylist()
         features, ordinals = [], []
-        for t in texts:
+        for t in batch.column(1).to_pylist():
             words = words_of([t])
-            feature, word = features_of(words if len(words.hash) <= max_words // 10 else words_of([b""]))
+            feature, word = features_of(words)
             features.append(feature.tobytes())
             ordinals.append(sentences_of(words)[word].tobytes())
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(features, pa.binary()), pa.array(ordinals, pa.binary())], names=["doc_id", "label", "features", "ordinals"])
 
-    rows = id_and_text(df, id_col, text_col, "binary").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "label")
-    size = 0
-    bags = []
-    for r in sorted(map_arrow(rows, bag, "doc_id long, label int, features binary, ordinals binary").collect(), key=lambda r: (r.doc_id * 0x9E3779B97F4A7C15 & (1 << 64) - 1, bytes(r.features))):
-        size += len(r.features) // (4 * (1 + len(STEMS)))
-        if r.features and size <= max_words and len(bags) < max_rows:
-            bags.append((r.label, bytes(r.features), bytes(r.ordinals)))
+    rows = sample_rows(id_and_text(df, id_col, text_col, "binary"), chosen, "label", max_words, ALNUM)
+    found = map_arrow(rows, bag, "doc_id long, label int, features binary, ordinals binary").collect()  # max_rows rows of max_words words in all, at most
+    bags = [(r["label"], bytes(r["features"]), bytes(r["ordinals"])) for r in sorted(found, key=lambda r: r["doc_id"])]
     return fit(bags)
 
 
