@@ -1,22 +1,28 @@
 """Operator 7: licence notices by a trained paragraph classifier and a check against templates, in DataFrame functions only.
 
-A paragraph is a line. A sparse softmax regression over the set of the 1-grams and
-2-grams of its words, stop words left out, gives the licence family or "unknown". It is
-trained on the driver from the fixed templates below, with words dropped and foreign
-words around them, and from paragraphs that are no licence, as the unknown class; a
-temperature, fitted on other such paragraphs, calibrates its probabilities.
+Paragraphs are parted by lines without words (letters or digits of ASCII), so that the
+lines of a wrapped notice are one paragraph. A sparse softmax regression over the set of
+the 1-grams and 2-grams of its words, stop words left out, gives the licence family or
+"unknown". It is trained on the driver from the fixed templates below, with words dropped
+and foreign words around them. The unknown class learns from paragraphs that are no
+licence, with words of the templates strewn in, and from near misses: templates in which
+a word that sets the family or version apart is another one. A temperature, fitted on
+other such paragraphs, calibrates the probabilities.
 
 A notice is a place where a template is found: its grams are held in order, in a narrow
 band of shifts; all grams of the words that set its family and version apart are there;
 few foreign words (none in a short template) stand inside. All templates are sought
-everywhere, so one line may hold notices of several families.
+everywhere, so one paragraph may hold notices of several families. A notice's probability
+is the classifier's for the grams of the notice.
 
 The grams (some rows for each template) are joined to the exploded n-grams by hash; only
 documents with such grams are grouped, and a document's own hits are the most that any
 task gathers. The gram table's size is fixed by the templates, which bounds the broadcast.
 
 Null text has no paragraph; null ids group by text; repeated rows each get their row;
-an empty table gives an empty result; other columns are ignored.
+an empty table gives an empty result; other columns are ignored. Of equal probabilities
+the family first in order counts. Time grows with a text's length, a task's memory with
+the longest text.
 """
 
 from __future__ import annotations
@@ -71,6 +77,8 @@ TEMPLATES: dict[str, list[str]] = {
     "proprietary": ["All rights reserved. [Unauthorized copying] of this file, via any medium, is [strictly prohibited].", "[Proprietary and confidential]. All rights reserved."],
     "public-domain": ["This is free and [unencumbered software released into the public domain].", "Released into the [public domain under CC0 1.0] Universal."],
 }
+#: What parts paragraphs: line ends with nothing but lines without words between them.
+PARTING = "\\n[^a-z0-9]*\\n"
 #: Words that are left out of all grams.
 STOP = frozenset("a an and any are as by for from in into is it may not of on or that the this to under use with without you".split())
 FILLER = "the of and to in is that it for on was be with as by from are this or at an have not but they which one all were when there can more if out so what time about who get would make like him into see other than then now only come over think also back after two how our work first well way even new want because these give day most us people".split()
@@ -143,22 +151,36 @@ def _examples(count: int, seed: int) -> list[tuple[set[str], int]]:
         made = ["".join(r.choice("aeinorstlhdu") for _ in range(r.randint(2, 9))) for _ in range(n)]
         return [r.choice(FILLER) if r.random() < 0.5 else w for w in made]
 
+    def near_miss(text: str) -> list[str]:
+        """The template's words, one word that must be there replaced."""
+        parts = re.split(r"[\[\]]", text)
+        keyed = r.randrange(1, len(parts), 2)
+        words = [words_of_paragraph(p) for p in parts]
+        at = r.choice([i for i, w in enumerate(words[keyed]) if w not in STOP])
+        old = words[keyed][at]
+        words[keyed][at] = r.choice([d for d in "123456789" if d != old]) if old.isdigit() else noise(1)[0] + "x"
+        return [w for p in words for w in p]
+
     rows = []
     for _ in range(count):
-        if r.random() < 0.5:
+        kind = r.random()
+        around = (noise(r.choice([0, 0, 2, 8, 60])), noise(r.choice([0, 0, 3, 60])))
+        if kind < 0.4:
             # no licence: other words, at times with a few of the templates' words out of place
-            words = noise(r.randint(3, 40))
-            for _ in range(r.choice([0, 0, 1, 2, 4])):
+            words = noise(r.choice([r.randint(3, 40), r.randint(40, 300)]))
+            for _ in range(r.choice([0, 0, 1, 2, 4, len(words) // 8])):
                 words.insert(r.randrange(len(words)), r.choice(every))
             rows.append((grams_of(words), 0))
+        elif kind < 0.55:
+            rows.append((grams_of(around[0] + near_miss(r.choice(TEMPLATES[r.choice(families[1:])])) + around[1]), 0))
         else:
             k = r.randrange(1, len(families))
-            words = [w for w in words_of_paragraph(r.choice(TEMPLATES[families[k]])) if r.random() > 0.08]
-            rows.append((grams_of(noise(r.choice([0, 0, 2, 8])) + words + noise(r.choice([0, 0, 3]))), k))
+            words = [w for w in words_of_paragraph(r.choice(TEMPLATES[families[k]])) if r.random() > 0.04]
+            rows.append((grams_of(around[0] + words + around[1]), k))
     return rows
 
 
-def train(examples: int = 3000, rounds: int = 300, rate: float = 0.1, penalty: float = 1e-4, seed: int = 11) -> Classifier:
+def train(examples: int = 5000, rounds: int = 300, rate: float = 0.1, penalty: float = 1e-4, seed: int = 11) -> Classifier:
     families = [UNKNOWN, *sorted(TEMPLATES)]
     grams = sorted({g for t in TEMPLATES.values() for x in t for g in grams_of(words_of_paragraph(x))})
     number = {g: i for i, g in enumerate(grams)}
@@ -194,15 +216,15 @@ def train(examples: int = 3000, rounds: int = 300, rate: float = 0.1, penalty: f
 
 
 def _hits(documents: DataFrame, model: Classifier, id_col: str, text_col: str) -> DataFrame:
-    """Per document with a gram of a template: doc_id, mark, hits (gram number, word number, 1 for a pair, lines of its first and last word)."""
+    """Per document with a gram of a template: doc_id, mark, hits (gram number, word number, 1 for a pair, paragraphs of its first and last word)."""
     table = documents.sparkSession.createDataFrame(list(enumerate(model.grams)), "gram int, name string").select(F.xxhash64("name").alias("hash"), "gram")
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
-    rows = documents.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.xxhash64(text).alias("mark"), F.split(ascii_lower(text), "\n", -1).alias("lines"))
+    rows = documents.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.xxhash64(text).alias("mark"), F.split(ascii_lower(text), PARTING, -1).alias("paragraphs"))
 
     def left(line: Column) -> Column:
         return F.filter(F.regexp_extract_all(line, F.lit("[a-z0-9]+"), F.lit(0)), lambda w: ~w.isin(*sorted(STOP)))
 
-    words = F.flatten(F.transform("lines", lambda line, i: F.transform(left(line), lambda w: F.struct(w.alias("word"), i.alias("line")))))
+    words = F.flatten(F.transform("paragraphs", lambda line, i: F.transform(left(line), lambda w: F.struct(w.alias("word"), i.alias("line")))))
     rows = rows.select("doc_id", "mark", words.alias("words"))
     following = F.slice("words", 2, F.greatest(F.size("words") - 1, F.lit(0)))
     pairs = F.zip_with("words", following, lambda a, b: F.struct(F.xxhash64(F.concat(a["word"], F.lit(" "), b["word"])).alias("hash"), a["line"].alias("line"), b["line"].alias("last")))
@@ -228,15 +250,15 @@ def _predicted(rows: DataFrame, model: Classifier, *by: str) -> DataFrame:
     return summed.select(*by, (F.array_position("z", F.col("top")) - 1).cast("int").alias("best"), raised.alias("e")).select(*by, "best", F.transform("e", lambda x: x / F.aggregate("e", F.lit(0.0), lambda a, b: a + b)).alias("p"))
 
 
-def _lines(hits: DataFrame, model: Classifier) -> DataFrame:
-    """Per line with a gram of a template whose best family is not unknown: doc_id, mark, paragraph, family, probability."""
+def _predictions(hits: DataFrame, model: Classifier) -> DataFrame:
+    """Per paragraph with a gram of a template whose best family is not unknown: doc_id, mark, paragraph, family, probability."""
     rows = hits.select("doc_id", "mark", F.inline("hits")).where(F.col("line") == F.col("last")).select("doc_id", "mark", F.col("line").alias("paragraph"), "gram").distinct()
     names = F.array(*map(F.lit, model.families))
     return _predicted(rows, model, "doc_id", "mark", "paragraph").where("best > 0").select("doc_id", "mark", "paragraph", F.get(names, F.col("best")).alias("family"), F.get("p", F.col("best")).alias("probability"))
 
 
 def _notices(hits: DataFrame, model: Classifier, confirm: float) -> DataFrame:
-    """Per notice: doc_id, mark, family, probability (of the template's grams held), first (its first line), lines (all its lines)."""
+    """Per notice: doc_id, mark, family, probability (of the template's grams held), first (its first paragraph), lines (all its paragraphs)."""
     templates, number = _templates(), {g: i for i, g in enumerate(model.grams)}
     table = hits.sparkSession.createDataFrame([(t, number[g], j, pair, x.slack) for t, x in enumerate(templates) for g, j, pair in x.grams], "template int, gram int, place int, pair int, slack int")
 
@@ -263,7 +285,7 @@ def _notices(hits: DataFrame, model: Classifier, confirm: float) -> DataFrame:
         F.max(F.col("at") + F.col("pair")).alias("end"),
         F.max(F.when(F.col("gram") == number["rights reserved"], F.col("at"))).alias("rights"),
         F.collect_set("gram").alias("grams"),
-        F.array_distinct(F.flatten(F.collect_set(F.array("line", "last")))).alias("lines"),
+        F.array_distinct(F.flatten(F.collect_set(F.array("line", "last")))).alias("paragraphs"),
     )
     keys = F.get(arrays([[2 * j + pair for _, j, pair in x.keys] for x in templates]), F.col("template"))
     foreign = F.col("end") - F.col("start") + 1 - F.col("own")
@@ -271,28 +293,28 @@ def _notices(hits: DataFrame, model: Classifier, confirm: float) -> DataFrame:
     found = found.withColumn("family", of_template([x.family for x in templates]))
     longer = F.max(F.col("family") != BARE).over(Window.partitionBy("doc_id", "mark", "rights"))
     found = found.withColumn("longer", longer).where((F.col("family") != BARE) | ~F.col("longer"))
-    by = ["doc_id", "mark", "family", "start", "template", "lines"]
+    by = ["doc_id", "mark", "family", "start", "template", "paragraphs"]
     scored = _predicted(found.select(*by, F.explode("grams").alias("gram")).distinct(), model, *by)
     p = F.get("p", F.array_position(F.array(*map(F.lit, model.families)), F.col("family")).cast("int") - 1)
-    return scored.select("doc_id", "mark", "family", p.alias("probability"), F.array_min("lines").alias("first"), "lines")
+    return scored.select("doc_id", "mark", "family", p.alias("probability"), F.array_min("paragraphs").alias("first"), "paragraphs")
 
 
 def paragraphs(documents: DataFrame, model: Classifier, id_col: str = "doc_id", text_col: str = "text", confirm: float = 0.7) -> DataFrame:
-    """Per line whose best family is not unknown: doc_id, mark, paragraph, family, probability, confirmed (a notice of the family has words there)."""
+    """Per paragraph whose best family is not unknown: doc_id, mark, paragraph, family, probability, confirmed (a notice of the family has words there)."""
     hits = _hits(documents, model, id_col, text_col)
-    noticed = _notices(hits, model, confirm).select("doc_id", "mark", "family", F.explode("lines").alias("paragraph")).distinct().alias("n")
-    lines = _lines(hits, model).alias("l")
+    noticed = _notices(hits, model, confirm).select("doc_id", "mark", "family", F.explode("paragraphs").alias("paragraph")).distinct().alias("n")
+    lines = _predictions(hits, model).alias("l")
     same = [F.col(f"l.{c}").eqNullSafe(F.col(f"n.{c}")) for c in ("doc_id", "mark", "family", "paragraph")]
     return lines.join(noticed, same, "left").select("l.*", F.col("n.mark").isNotNull().alias("confirmed"))
 
 
 def licences(documents: DataFrame, model: Classifier | None = None, id_col: str = "doc_id", text_col: str = "text", at_least: float = 0.5, confirm: float = 0.7) -> DataFrame:
-    """Per row: doc_id, families (of notices, sorted, comma-joined), n_confirmed (families and lines they begin in), n_unconfirmed (predicted lines without notice), probability (highest of a notice, else 0)."""
+    """Per row: doc_id, families (of notices, sorted, comma-joined), n_confirmed (families and paragraphs they begin in), n_unconfirmed (predicted paragraphs without notice), probability (highest of a notice, else 0)."""
     model = model or train()
     hits = _hits(documents, model, id_col, text_col)
     notices = _notices(hits, model, confirm).where(F.col("probability") >= at_least)
-    notices = notices.select("doc_id", "mark", F.explode("lines").alias("paragraph"), F.struct("family", "first").alias("notice"), "probability")
-    lines = _lines(hits, model).where(F.col("probability") >= at_least)
+    notices = notices.select("doc_id", "mark", F.explode("paragraphs").alias("paragraph"), F.struct("family", "first").alias("notice"), "probability")
+    lines = _predictions(hits, model).where(F.col("probability") >= at_least)
     every = notices.unionByName(lines.select("doc_id", "mark", "paragraph"), allowMissingColumns=True)
     found = every.groupBy("doc_id", "mark", "paragraph").agg(F.collect_set("notice").alias("notices"), F.max("probability").alias("probability"))
     found = found.groupBy("doc_id", "mark").agg(

@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import re
 import zlib
 from collections import Counter
 
@@ -209,7 +210,7 @@ def test_licences(docs):
     assert [got[i].families for i in range(7)] == ["mit", "gpl-3.0", "", "", "", "", "apache-2.0,mit"]
     assert got[6].n_confirmed == 2 and got[0].probability > 0.9
     for r in licences.paragraphs(docs(every), model).collect():
-        p = model.probabilities(every[r.doc_id].split("\n")[r.paragraph])
+        p = model.probabilities(re.split(licences.PARTING, every[r.doc_id].lower())[r.paragraph])
         assert model.families[int(p.argmax())] == r.family and r.probability == pytest.approx(float(p.max()))
     plan = licences.licences(docs(every), model)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
@@ -259,8 +260,235 @@ in the Software without restriction, including without limitation the rights"""
 # it under the terms of the GNU General Public License as published by
 # the Free Software Foundation; either version {} of the License, or
 # (at your option) any later version."""
+    lgpl = """This library is free software: you can redistribute it
+and/or modify it under the terms of the GNU Lesser General
+Public License as published by the Free Software Foundation,
+either version 3 of the License, or any later version."""
+    apache = """   Licensed under the Apache License, Version 2.0 (the "License");
+   you may not use this file except in compliance with the License.
+   You may obtain a copy of the License at"""
     joined = "Parts are released under the MIT License. Other parts are licensed under the Apache License, Version 2.0."
-    every = [mit, bsd, gpl.format(3), gpl.format(2), joined, mit.replace("\n", "\n\n")]
+    every = [mit, bsd, gpl.format(3), gpl.format(2), joined, mit.replace("\n", "\n\n"), lgpl, apache, lgpl.replace("Lesser", "Affero").replace("library", "program"), gpl.format(4)]
     got = {r.doc_id: r for r in licences.licences(docs(every)).collect()}
-    assert [got[i].families for i in range(len(every))] == ["mit", "all-rights-reserved,bsd", "gpl-3.0", "gpl-2.0", "apache-2.0,mit", "mit"]
-    assert [got[i].n_confirmed for i in range(len(every))] == [1, 2, 1, 1, 2, 1]
+    assert [got[i].families for i in range(len(every))] == ["mit", "all-rights-reserved,bsd", "gpl-3.0", "gpl-2.0", "apache-2.0,mit", "mit", "lgpl-3.0", "apache-2.0", "agpl-3.0", ""]
+    assert [got[i].n_confirmed for i in range(len(every))] == [1, 2, 1, 1, 2, 1, 1, 1, 1, 0]
+
+
+def brute_families(text, model, confirm=0.7, at_least=0.5):
+    """Families of a text's notices: every template at every shift, in plain loops."""
+    words = [w for w in re.findall("[a-z0-9]+", (text or "").lower()) if w not in licences.STOP]
+    have = [(w, i, 0) for i, w in enumerate(words)] + [(f"{a} {b}", i, 1) for i, (a, b) in enumerate(zip(words, words[1:], strict=False))]
+    found = []
+    for t in licences._templates():
+        bands = {}
+        for gram, at, pair in have:
+            for other, place, kind in t.grams:
+                if (gram, pair) == (other, kind):
+                    band = (at - place) // max(t.slack, 1)
+                    for b in (band,) if t.slack == 0 else (band - 1, band):
+                        bands.setdefault(b, []).append((gram, at, pair, place))
+        for hits in bands.values():
+            held = {(place, pair) for _, _, pair, place in hits}
+            start, end = min(at for _, at, _, _ in hits), max(at + pair for _, at, pair, _ in hits)
+            foreign = end - start + 1 - len({at for _, at, pair, _ in hits if not pair})
+            if len(held) >= confirm * len(t.grams) and {(j, p) for _, j, p in t.keys} <= held and foreign <= t.slack:
+                rights = max((at for gram, at, _, _ in hits if gram == "rights reserved"), default=None)
+                found.append((t.family, rights, {g for g, *_ in hits}))
+    longer = {rights for family, rights, _ in found if family != licences.BARE}
+    out = set()
+    for family, rights, grams in found:
+        if family != licences.BARE or rights not in longer:
+            z = (model.bias + sum((model.weights[i] for i, g in enumerate(model.grams) if g in grams), np.zeros_like(model.bias))) / model.temperature
+            p = np.exp(z - z.max())
+            if (p / p.sum())[model.families.index(family)] >= at_least:
+                out.add(family)
+    return ",".join(sorted(out))
+
+
+def test_licences_equal_brute_force(docs):
+    r = random.Random(12)
+    model = licences.train()
+    templates = [t.replace("[", "").replace("]", "") for texts in licences.TEMPLATES.values() for t in texts]
+    every = [None, "", "\n\n", "no licence here"]
+    for _ in range(150):
+        parts = []
+        for _ in range(r.randint(1, 3)):
+            words = r.choice(templates).split()
+            for _ in range(r.choice([0, 0, 0, 1, 2, 4])):
+                at = r.randrange(len(words))
+                words[at : at + r.choice([0, 1])] = r.choice([[], ["other"], ["version", "2"], [words[at], words[at]]])
+            parts.append(" ".join(words))
+        every.append(r.choice([" ", "\n", "\n\n", " and then "]).join(parts))
+    every += [every[7], every[7]]
+    got = {r.doc_id: r.families for r in licences.licences(docs(every), model).collect()}
+    assert got == {i: brute_families(t, model) for i, t in enumerate(every)}
+    assert sum(bool(f) for f in got.values()) > 60
+
+
+# ---- cases that every operator of a row must take --------------------------------------------------------------------
+
+
+def of_rows(name, spark, docs):
+    """An operator as a function of documents, trained where it learns, and one of the columns that hold for equal texts."""
+    rows = graded(300, 8)
+    labels = spark.createDataFrame([(i, y, q * (2 - y)) for i, (_, y, q) in enumerate(rows)], "doc_id long, toxic int, grade int")
+    known = docs([t for t, _, _ in rows])
+    return {
+        "token counts": lambda d: token_counts.token_counts(d, PIECES),
+        "toxicity": lambda d, m=[]: toxicity.score(d, m[0] if m else m.append(toxicity.train(known, labels)) or m[0]),
+        "lattice": lambda d: lattice_lm.lattice_scores(d, PIECES),
+        "licences": lambda d, m=[]: licences.licences(d, m[0] if m else m.append(licences.train()) or m[0]),
+        "pii": lambda d, m=[]: pii.personal_data(d, m[0] if m else m.append(pii.fit(pii.training_table())) or m[0]),
+        "codec": lambda d: bpe_codec.encode_digests(d, WORDS),
+        "quality": lambda d: quality.quality(d, spark.createDataFrame([(i, 1) for i in range(9)] + [(20, 0)], "doc_id long, grade int"), F.col("grade"), 3),
+    }[name]
+
+
+@pytest.mark.parametrize("name", ["token counts", "toxicity", "lattice", "licences", "pii", "codec", "quality"])
+def test_nulls_repeats_long_texts_and_empty_tables(spark, docs, name):
+    operator = of_rows(name, spark, docs)
+    long = "word " * 60_000 + "a.b@c.org +1 (212) 555-0100 " + "x" * 20_000 + "\n" * 3000
+    given = [(None, "a cat"), (None, "a cat"), (None, None), (4, "a cat"), (4, "a cat"), (4, "another text"), (5, None), (6, ""), (7, long), (8, "MIT License.\n\n\n" + long)]
+    frame = docs([t for _, t in given], ids=[i for i, _ in given])
+    got = operator(frame).collect()
+    assert sorted(r.doc_id or 0 for r in got) == sorted(i or 0 for i, _ in given)
+    rest = [tuple(v if not isinstance(v, float) else round(v, 6) for c, v in r.asDict().items() if c not in ("doc_id", "held_out")) for r in got]
+    of = {}
+    for r, values in zip(got, rest, strict=True):
+        of.setdefault(r.doc_id, []).append(values)
+    assert max(of[None].count(x) for x in of[4]) >= 2  # equal texts, equal results, whatever the id
+    assert len(set(of[4])) <= 2 and of[5] == of[6]
+    clashing = frame.select("*", *(F.lit(None).cast("string").alias(c) for c in ("score", "mark2", "_row_number", "_rejected_row", "words", "n", "copies", "hits") if c not in frame.columns))
+    again = [tuple(v if not isinstance(v, float) else round(v, 6) for v in r) for r in operator(clashing).collect()]
+    assert sorted(again, key=str) == sorted((tuple(v if not isinstance(v, float) else round(v, 6) for v in r) for r in got), key=str)
+    assert operator(docs([])).count() == 0
+
+
+def test_unbroken_text_and_forced_paths(monkeypatch):
+    """Long sequences by windows, by the queue and by plain rounds equal the libraries."""
+    import sentencepiece
+    from tokenizers import Tokenizer
+
+    from chronoledger.llm import merges
+
+    library, model = Tokenizer.from_file(WORDS), sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    r = random.Random(7)
+    for long, slow in ((4, 64), (4, -1), (256, 64)):
+        monkeypatch.setattr(merges, "LONG", long)
+        monkeypatch.setattr(merges, "SLOW_ROUNDS", slow)
+        for _ in range(25):
+            letters = r.choice(["abc", "the", "eh", "ation", "aé中벨", "abcdefghijklmnopqrstuvwxyz", "intergo"])
+            every = ["".join(r.choice(letters) for _ in range(r.choice([10, 100, 700]))) for _ in range(6)]
+            every += [("".join(r.choice(letters) for _ in range(r.randint(1, 7))) * 200)[: r.randint(5, 900)] for _ in range(6)]
+            assert token_counts.PieceCounter.counts(_fresh(token_counts.counter(PIECES)), every) == [len(model.encode(t)) for t in every]
+            codec = bpe_codec.codec(WORDS)
+            codec.forget()
+            assert [np.frombuffer(x, dtype="<u4").tolist() for x, _ in codec.encode(every)] == [library.encode(t, add_special_tokens=False).ids for t in every]
+
+
+def _fresh(counter):
+    counter.known.clear()
+    return counter
+
+
+def test_a_megabyte_of_letters_keeps_pace_with_the_libraries():
+    import time
+
+    import sentencepiece
+    from tokenizers import Tokenizer
+
+    library, model = Tokenizer.from_file(WORDS), sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    r = random.Random(3)
+    text = "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(1_000_000))
+    start = time.perf_counter()
+    counted, ids = len(model.encode(text)), library.encode(text, add_special_tokens=False).ids
+    theirs = time.perf_counter() - start
+    start = time.perf_counter()
+    assert token_counts.counter(PIECES).counts([text]) == [counted]
+    assert np.frombuffer(bpe_codec.codec(WORDS).encode([text])[0][0], dtype="<u4").tolist() == ids
+    assert time.perf_counter() - start < 10 * theirs
+
+
+def test_long_words_by_stretches(monkeypatch):
+    lattice = lattice_lm.Lattice(lattice_lm.vocabulary(PIECES))
+    log_p = lattice_lm.first_probabilities(lattice)
+    r = random.Random(1)
+    words = [bytes(r.choice(b"abcdefgh\xc3") for _ in range(n)) for n in (900, 300, 40, 3)]
+    plain = lattice.log_sums(words, log_p), lattice.expected(words, np.arange(1.0, 5.0), log_p)
+    monkeypatch.setattr(lattice_lm, "LONG_WORD", 10)
+    monkeypatch.setattr(lattice_lm, "STRETCH", 37)
+    assert lattice.log_sums(words, log_p) == pytest.approx(plain[0])
+    assert lattice.expected(words, np.arange(1.0, 5.0), log_p) == pytest.approx(plain[1])
+
+
+def test_document_scores_are_sums_of_their_words(docs):
+    every = ["the cat runs", "THE cat\tcat unseenword", None, "internationalization of the cat"] * 3
+    documents = docs(every)
+    got = {r.doc_id: r.score for r in lattice_lm.lattice_scores(documents, PIECES).collect()}
+    lattice = lattice_lm.Lattice(lattice_lm.vocabulary(PIECES))
+    kept = [t for i, t in enumerate(every) if zlib.crc32(str(i).encode()) % 7 != 2]
+    counts = Counter(w for t in kept for w in [*(t or "").lower().encode().split(), b""])
+    log_p = lattice_lm.fit(documents.sparkSession.createDataFrame([(bytearray(w), n) for w, n in counts.items()], "word binary, n long"), lattice, 2)
+    for i, t in enumerate(every):
+        words = (t or "").lower().encode().split()
+        assert got[i] == pytest.approx((float(lattice.log_sums(words, log_p).sum()) + log_p[lattice.end]) / math.log(10))
+
+
+def plain_features(sentence):
+    out = set()
+    for w in re.findall(rb"[A-Za-z0-9\x80-\xff]+", sentence):
+        words = toxicity.words_of([w])
+        out |= set(toxicity.features_of(words)[0].tolist())
+    return out
+
+
+def test_toxicity_equals_a_plain_noisy_or(spark, docs):
+    """Scores of whole documents from the model's weights in plain loops, and sentences at their places."""
+    rows = graded(500, 9)
+    every = [t for t, _, _ in rows] + [" ".join(t for t, _, _ in rows[:80]), None, "..!", "zugword\nzugs? fine"]
+    model = toxicity.train(docs([t for t, _, _ in rows]), spark.createDataFrame([(i, y) for i, (_, y, _) in enumerate(rows)], "doc_id long, toxic int"))
+    weight = dict(zip(model.features.tolist(), model.weights.tolist(), strict=True))
+    for r in toxicity.score(docs(every), model).collect():
+        clean = 1.0
+        for sentence in re.split(rb"[\n!.?]", (every[r.doc_id] or "").encode()):
+            if re.search(rb"[A-Za-z0-9\x80-\xff]", sentence):
+                clean *= 1 - 1 / (1 + math.exp(-model.bias - sum(weight.get(f, 0.0) for f in plain_features(sentence))))
+        assert r.score == pytest.approx(1 - clean, abs=1e-9)
+
+
+def test_quality_equals_plain_cumulative_links(spark, docs):
+    rows = graded(300, 10)
+    every = [t for t, _, _ in rows[:60]] + [" ".join(t for t, _, _ in rows)]
+    ratings = spark.createDataFrame([(i, q * (2 - y)) for i, (_, y, q) in enumerate(rows)], "doc_id long, grade int")
+    model = quality.train(docs([t for t, _, _ in rows]), ratings, F.col("grade"), 3)
+    assert list(model.thresholds) == sorted(model.thresholds)
+    for t in every:
+        _, feature, value = quality.vectors([t.encode()])
+        latent = sum(model.weights[f] * v for f, v in zip(feature.tolist(), value.tolist(), strict=True))
+        over = [1 - 1 / (1 + math.exp(-(threshold - latent))) for threshold in model.thresholds]
+        expected, tail = model.grades([t.encode()], 2)
+        assert expected[0] == pytest.approx(sum(over)) and tail[0] == pytest.approx(over[1])
+
+
+def test_samples_are_bounded(spark, docs):
+    from chronoledger.llm.common import id_and_text, sample_rows
+    from chronoledger.llm.words import ALNUM
+
+    every = ["a b c"] * 30 + ["w " * 500, None, "a b c"]
+    ids = [*range(30), 30, 31, 3]
+    chosen = spark.createDataFrame([(i, 1) for i in range(40)], "doc_id long, label int")
+    rows = sample_rows(id_and_text(docs(every, ids=ids), "doc_id", "text", "binary"), chosen, "label", 60, ALNUM).collect()
+    assert len(rows) == 20 and len({r.doc_id for r in rows}) == 20  # 20 texts of 3 words; the long, the empty and the repeated row don't count
+    more = sample_rows(id_and_text(docs(every, ids=ids), "doc_id", "text", "binary"), chosen, "label", 6000, ALNUM).collect()
+    assert sorted(r.doc_id for r in more) == list(range(31))
+
+
+def test_odd_digits_stop_nothing(docs):
+    r = random.Random(5)
+    odd = "0123²³٣४１.@+-() é\u0301\u20dd"
+    every = ["192.168.10.25²", "1.2.3.٣", "10.0.0.1", *("".join(r.choice(odd) for _ in range(r.randint(1, 40))) for _ in range(400)), "\u0301", ("word 1.2.3.4 " + "5" * 30 + " ") * 20_000]
+    field = pii.fit(pii.training_table())
+    got = {r.doc_id: r for r in pii.personal_data(docs(every), field).collect()}
+    assert len(got) == len(every)
+    for i, t in enumerate(every):
+        assert got[i].base_sha256 == hashlib.sha256(pii.written(pii.pattern_spans(t)).encode()).hexdigest()
