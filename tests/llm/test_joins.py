@@ -210,3 +210,60 @@ def test_pipeline_decides_by_row(spark, docs):
     for stage, (given, kept) in rows.items():
         got = stage(spark, docs([t for t, _ in given], ids=[i for _, i in given]), sf_dir)
         assert sorted((r.text, r.doc_id or 0) for r in got.collect()) == sorted((t, i or 0) for t, i in kept), stage
+
+
+def test_whole_pipeline_on_odd_tables(spark, tmp_path):
+    """Null and repeated ids, equal rows, short benchmark items, columns with the stages' own names: rows as brute force has them."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    import corpus_pipeline
+
+    r = random.Random(21)
+    base = [" ".join(f"w{r.randrange(300)}" for _ in range(r.randint(20, 60))) for _ in range(12)]
+    texts = base + [base[0], base[0].upper(), base[1] + "  ", base[2] + " more", None, "", " ", "says rareitem here", "has two words inside", "x " * 5000, base[3] + " end", base[3]]
+    rows = [(r.choice([None, 1, 2, *range(3, 40)]), t, "en", "s", len(t or ""), i, "c") for i, t in enumerate(texts)]
+    rows += rows[:3]
+    items = [(1, "rareitem"), (2, "two words"), (3, base[5]), (4, None), (5, "")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, _row long, head string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    spark.createDataFrame([(1, 1, 0), (2, 0, 0)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, docs, str(tmp_path)).columns == docs.columns
+    got = sorted((x.doc_id or 0, x.n_tokens) for x in corpus_pipeline.run(spark, str(tmp_path)).collect())
+
+    kept = [(i, t or "") for i, t, *_ in rows]  # no toxic label: every score is 0
+    groups = {}
+    for i, t in kept:
+        groups.setdefault(re.sub(r"[\x20\x09-\x0D]", "", t), []).append((i, t))
+    kept = [min(g, key=lambda x: (-len(x[1]), x[0] is None, x[0] or 0)) for g in groups.values()]
+    components = brute_components([t for _, t in kept])
+    near = {}
+    for n, x in enumerate(kept):
+        near.setdefault(components[n][1], []).append(x)
+    kept = [min(g, key=lambda x: (x[0] is None, x[0] or 0)) for g in near.values()]
+    kept = [(i, t) for i, t in kept if not brute_hits(t, items)[4]]
+    library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    assert got == sorted((i or 0, len(library.encode(t, add_special_tokens=False).ids)) for i, t in kept)
+
+
+def test_joins_take_clashing_columns_and_large_mixed_clusters(spark, docs):
+    every = near_copies(20, 3)
+    odd = docs(every).select("*", *(F.lit("x").alias(c) for c in ("mark2", "size", "id", "block", "bits", "component", "digest", "n", "words", "at", "kind", "slice", "_rejected_row")))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in signature_join.near_components(odd, most=3).collect()}
+    assert got == brute_components(every)
+    assert exact_dedup.exact_dedup(odd).count() == len(every)
+    assert decontamination.decontaminate(odd, spark.createDataFrame([(1, "one two", "y")], "item_id long, text string, words string")).where("contaminated").count() == 2
+
+
+def test_rows_of_one_gram_come_in_many_batches(spark, docs):
+    """One passage in more texts than an Arrow batch holds rows: its gram is taken up whole."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        passage = " ".join(f"p{i}" for i in range(30))
+        every = [f"{passage} own{i}" for i in range(40)] + [f"{passage} " + " ".join(f"o{i}x{j}" for j in range(60)) for i in range(30)]
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in signature_join.near_components(docs(every)).collect()}
+        assert got == brute_components(every)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
