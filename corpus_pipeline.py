@@ -19,30 +19,32 @@ from pyspark.sql import functions as F
 from chronoledger.llm import bpe_codec, decontamination, exact_dedup, signature_join, toxicity
 from chronoledger.llm.common import cut, table
 
-
 #: Rejected rows that may be broadcast (some 50 bytes each); beyond them the join shuffles.
 BROADCAST = 500_000
-ROW = "_row_number"
 
 
-def _numbered(docs: DataFrame) -> DataFrame:
-    return docs.withColumn(ROW, F.monotonically_increasing_id())
+def _numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """docs with a number for each row, and the name of that column, which none of docs has."""
+    name = "_row"
+    while name in map(str.lower, docs.columns):
+        name += "_"
+    return docs.withColumn(name, F.monotonically_increasing_id()), name
 
 
-def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
-    """The numbered rows of docs whose number is not among the rejected, without it."""
-    gone = cut(rejected.select(F.col("doc_id").alias("_rejected_row")))
+def _without(docs: DataFrame, row: str, rejected: DataFrame) -> DataFrame:
+    """The numbered rows of docs whose number is not among the rejected (doc_id), without it."""
+    gone = cut(rejected.select(F.col("doc_id").alias(row)))
     if gone.count() <= BROADCAST:
         gone = F.broadcast(gone)
-    return docs.join(gone, docs[ROW] == F.col("_rejected_row"), "left_anti").drop(ROW)
+    return docs.join(gone, row, "left_anti").drop(row)
 
 
-def _all_but_best(docs: DataFrame, groups: DataFrame, *first: Column) -> DataFrame:
+def _all_but_best(docs: DataFrame, row: str, groups: DataFrame, *first: Column) -> DataFrame:
     """Row numbers (as doc_id) that go if of each group (doc_id, head: the number of one of its rows) the row that is least by first, then by id (null last), stays."""
     others = cut(groups.where("doc_id <> head").select("doc_id", "head"))
     members = others.unionByName(others.select(F.col("head").alias("doc_id"), "head").distinct())
-    ids = docs.select(F.col(ROW), F.struct(*first, F.col("doc_id").isNull(), F.col("doc_id"), F.col(ROW).alias("row")).alias("rank"))
-    best = members.join(ids, members["doc_id"] == ids[ROW]).groupBy("head").agg(F.min("rank")["row"].alias("best"))
+    ranks = docs.select(F.col(row).alias("member"), F.struct(*first, F.col("doc_id").isNull(), F.col("doc_id"), F.col(row).alias("row")).alias("rank"))
+    best = members.join(ranks, members["doc_id"] == ranks["member"]).groupBy("head").agg(F.min("rank")["row"].alias("best"))
     return members.join(best.select("best"), members["doc_id"] == F.col("best"), "left_anti")
 
 
@@ -53,22 +55,22 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of texts equal but for white space, keeps the row with most code points, then the smallest id."""
-    docs = _numbered(docs)
-    groups = exact_dedup.exact_dedup(docs, id_col=ROW).select("doc_id", F.col("keep_id").alias("head"))
-    return _without(docs, _all_but_best(docs, groups, -F.char_length(F.coalesce("text", F.lit("")))))
+    docs, row = _numbered(docs)
+    groups = exact_dedup.exact_dedup(docs, id_col=row).select("doc_id", F.col("keep_id").alias("head"))
+    return _without(docs, row, _all_but_best(docs, row, groups, -F.char_length(F.coalesce("text", F.lit("")))))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of near copies keeps the document with the smallest id."""
-    docs = _numbered(docs)
-    groups = signature_join.near_components(docs, id_col=ROW).select("doc_id", F.col("component_id").alias("head"))
-    return _without(docs, _all_but_best(docs, groups))
+    docs, row = _numbered(docs)
+    groups = signature_join.near_components(docs, id_col=row).select("doc_id", F.col("component_id").alias("head"))
+    return _without(docs, row, _all_but_best(docs, row, groups))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents with a word inside a window of ten words of a benchmark item."""
-    docs = _numbered(docs)
-    return _without(docs, decontamination.decontaminate(docs, table(spark, sf_dir, "benchmark"), id_col=ROW).where("contaminated"))
+    docs, row = _numbered(docs)
+    return _without(docs, row, decontamination.decontaminate(docs, table(spark, sf_dir, "benchmark"), id_col=row).where("contaminated"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
