@@ -28,7 +28,7 @@ from .common import held_out, id_and_text, map_arrow, sample_rows
 from .words import ALNUM, SENTENCE_END, Words, byte_slices, find_words, fold32
 
 #: Bounds of what is learned from: labelled rows, and words in all; a text of over a tenth of these words is not learned from.
-MAX_ROWS, MAX_WORDS = 4000, 1_500_000
+MAX_ROWS, MAX_WORDS = 4000, 2_000_000
 #: Features are kept whose share of positive bags is over so many times that of all bags.
 SCREEN = 3.0
 #: Weight of a positive bag in training, beside 1 of a negative one.
