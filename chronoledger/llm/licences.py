@@ -35,7 +35,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ascii_lower
+from .common import ascii_lower, cut
 
 UNKNOWN = "unknown"
 
@@ -301,7 +301,7 @@ def _notices(hits: DataFrame, model: Classifier, confirm: float) -> DataFrame:
 
 def paragraphs(documents: DataFrame, model: Classifier, id_col: str = "doc_id", text_col: str = "text", confirm: float = 0.7) -> DataFrame:
     """Per paragraph whose best family is not unknown: doc_id, mark, paragraph, family, probability, confirmed (a notice of the family has words there)."""
-    hits = _hits(documents, model, id_col, text_col)
+    hits = cut(_hits(documents, model, id_col, text_col))  # read twice; small beside the texts
     noticed = _notices(hits, model, confirm).select("doc_id", "mark", "family", F.explode("paragraphs").alias("paragraph")).distinct().alias("n")
     lines = _predictions(hits, model).alias("l")
     same = [F.col(f"l.{c}").eqNullSafe(F.col(f"n.{c}")) for c in ("doc_id", "mark", "family", "paragraph")]
@@ -311,7 +311,7 @@ def paragraphs(documents: DataFrame, model: Classifier, id_col: str = "doc_id",
 def licences(documents: DataFrame, model: Classifier | None = None, id_col: str = "doc_id", text_col: str = "text", at_least: float = 0.5, confirm: float = 0.7) -> DataFrame:
     """Per row: doc_id, families (of notices, sorted, comma-joined), n_confirmed (families and paragraphs they begin in), n_unconfirmed (predicted paragraphs without notice), probability (highest of a notice, else 0)."""
     model = model or train()
-    hits = _hits(documents, model, id_col, text_col)
+    hits = cut(_hits(documents, model, id_col, text_col))  # read twice; small beside the texts
     notices = _notices(hits, model, confirm).where(F.col("probability") >= at_least)
     notices = notices.select("doc_id", "mark", F.explode("paragraphs").alias("paragraph"), F.struct("family", "first").alias("notice"), "probability")
     lines = _predictions(hits, model).where(F.col("probability") >= at_least)
