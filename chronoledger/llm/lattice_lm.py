@@ -27,7 +27,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +42,8 @@ MARK = "▁".encode()
 FREQUENT, HELD_WORDS, MEMORY = 150_000, 250_000, 150_000
 #: Bytes from which a word's recursion goes along stretches of its edges, and starts in a stretch.
 LONG_WORD, STRETCH = 2000, 20_000
+#: Bytes of text scored at a time; bounds a worker's memory.
+SCORED_BYTES = 4_000_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 
@@ -63,8 +65,26 @@ class Lattice:
         hashes = np.array([self._hashes(np.frombuffer(p, dtype=np.uint8)[None], len(p))[0, 0] for p in pieces], dtype=np.uint64)
         order = np.argsort(hashes)
         self.hashes, self.number = hashes[order], order.astype(np.int32)
-        self.maybe = np.zeros(1 << 20, dtype=bool)
-        self.maybe[(self.hashes >> np.uint64(44)).astype(np.int64)] = True
+        slots = (self.hashes >> np.uint64(44)).astype(np.int64)
+        self.first = np.full(1 << 20, -1, dtype=np.int32)  # by a hash's upper bits, the first of its pieces in order
+        self.first[slots[::-1]] = np.arange(len(slots) - 1, -1, -1, dtype=np.int32)
+        self.shared = int(np.unique(slots, return_counts=True)[1].max(initial=0))  # most pieces of one slot
+
+    def _look_up(self, h: np.ndarray) -> np.ndarray:
+        """The piece of each hash."""
+        found = np.full(h.shape, self.none, dtype=np.int32)
+        place = self.first[(h >> np.uint64(44)).astype(np.int64)].ravel()
+        at = np.flatnonzero(place >= 0)
+        sought, place = h.ravel()[at], place[at]
+        for _ in range(self.shared):
+            same = self.hashes[place] == sought
+            found.ravel()[at[same]] = self.number[place[same]]
+            at, sought, place = at[~same], sought[~same], place[~same] + 1
+            inside = place < len(self.hashes)
+            at, sought, place = at[inside], sought[inside], place[inside]
+            if not len(at):
+                break
+        return found
 
     @staticmethod
     def _hashes(block: np.ndarray, k: int) -> np.ndarray:
@@ -86,12 +106,7 @@ class Lattice:
             if k > size:
                 break
             h = mix((total[:, k:] - total[:, :-k]) * down[: size - k + 1] + np.uint64(k))
-            found = np.full(h.shape, self.none, dtype=np.int32)
-            at = np.flatnonzero(self.maybe[(h >> np.uint64(44)).astype(np.int64)])
-            if len(at):
-                sought = h.ravel()[at]
-                place = np.minimum(np.searchsorted(self.hashes, sought), len(self.hashes) - 1)
-                found.ravel()[at] = np.where(self.hashes[place] == sought, self.number[place], self.none)
+            found = self._look_up(h)
             if (found != self.none).any():
                 out.append((k, found))
         return out
@@ -176,7 +191,10 @@ class Lattice:
         for group in np.split(order, cuts) if len(order) else []:
             size = int(lengths[group[0]])
             for part in np.array_split(group, max(1, len(group) * size // 150_000)):
-                yield part, np.frombuffer(b"".join([MARK + words[i] for i in part]), dtype=np.uint8).reshape(len(part), size)
+                block = np.empty((len(part), size), dtype=np.uint8)
+                block[:, : len(MARK)] = np.frombuffer(MARK, dtype=np.uint8)
+                block[:, len(MARK) :] = np.frombuffer(b"".join([words[i] for i in part.tolist()]), dtype=np.uint8).reshape(len(part), -1)
+                yield part, block
 
     def log_sums(self, words: list[bytes], log_p: np.ndarray) -> np.ndarray:
         """Natural log of each word's sum over segmentations."""
@@ -190,7 +208,8 @@ class Lattice:
 
     @staticmethod
     def long(words: list[bytes]) -> list[int]:
-        return [i for i, w in enumerate(words) if len(w) + len(MARK) > LONG_WORD]
+        lengths = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+        return np.flatnonzero(lengths + len(MARK) > LONG_WORD).tolist()
 
     def expected(self, words: list[bytes], counts: np.ndarray, log_p: np.ndarray) -> np.ndarray:
         """Expected number of uses of each piece."""
@@ -309,30 +328,35 @@ def lattice_scores(df: DataFrame, model_path: str, modulus: int = 7, remainder:
     log_p = fit(counts, lattice, rounds)
     least = least_frequent(counts, frequent)
     known = {bytes(r["word"]): r["n"] for r in counts.where(_bucket() >= least).collect()}  # at most ``frequent``
-    often = [w for w in known if w]
-    sums = dict(zip(often, lattice.log_sums(often, log_p).tolist(), strict=True))
+    known.pop(b"", None)
+    often_sums = lattice.log_sums(list(known), log_p)
+    often_counts = np.array([*known.values(), 0], dtype=np.int64)  # the last one of all other words
+    often = dict(zip(known, range(len(known)), strict=True))
     ends = counts.where(F.length("word") == 0).first()
-    known[b""] = ends["n"] if ends else 0
-    shared = spark.sparkContext.broadcast((lattice, log_p, known, sums))
+    shared = spark.sparkContext.broadcast((lattice, log_p, often, often_sums, often_counts, ends["n"] if ends else 0))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lattice, log_p, known, often = shared.value
-        end_count, end_sum = known[b""], float(log_p[lattice.end])
-        sums = dict(often)
+        lattice, log_p, often, often_sums, often_counts, end_count = shared.value
+        end_sum = float(log_p[lattice.end])
+        place, sums = dict(often), often_sums
         for batch in pieces(batches):
             ids, texts, out, marks = (batch.column(i).to_pylist() for i in range(4))
-            for i, j in byte_slices(texts):
+            for i, j in byte_slices(texts, SCORED_BYTES):
                 tables = [Counter(t.lower().split()) for t in texts[i:j]]
                 words = list(chain.from_iterable(tables))
                 times = np.fromiter(chain.from_iterable(t.values() for t in tables), dtype=np.int64, count=len(words))
                 doc = np.repeat(np.arange(j - i), [len(t) for t in tables])
-                new = list(set(words).difference(sums))
-                if len(sums) + len(new) > len(often) + MEMORY:
-                    sums = dict(often)
-                    new = list(set(words).difference(sums))
-                sums.update(zip(new, lattice.log_sums(new, log_p).tolist(), strict=True))
-                score = np.bincount(doc, weights=times * np.fromiter(map(sums.__getitem__, words), dtype=np.float64, count=len(words)), minlength=j - i) + end_sum
-                count = np.fromiter((known.get(w, 0) for w in words), dtype=np.int64, count=len(words))
+                at = np.fromiter(map(place.get, words, repeat(-1)), dtype=np.int64, count=len(words))
+                unseen = np.flatnonzero(at < 0)
+                of_unseen = [words[r] for r in unseen.tolist()]
+                new = list(dict.fromkeys(of_unseen))
+                place.update(zip(new, range(len(sums), len(sums) + len(new)), strict=True))
+                sums = np.concatenate([sums, lattice.log_sums(new, log_p)])
+                at[unseen] = np.fromiter(map(place.__getitem__, of_unseen), dtype=np.int64, count=len(of_unseen))
+                score = np.bincount(doc, weights=times * sums[at], minlength=j - i) + end_sum
+                count = often_counts[np.minimum(at, len(often))]
+                if len(place) > len(often) + MEMORY:
+                    place, sums = dict(often), often_sums
                 base = np.bincount(doc, weights=times * np.log10(count + 1), minlength=j - i) + math.log10(end_count + 1)
                 seen = np.bincount(doc, weights=times * (count > 0), minlength=j - i).astype(np.int64) + int(end_count > 0)
                 tokens = np.bincount(doc, weights=times, minlength=j - i).astype(np.int64) + 1
